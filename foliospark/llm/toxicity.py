@@ -10,6 +10,7 @@ function of their maximum and their sum, and tokens likelier toxic than not are
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from foliospark.llm.sampling import of_documents, stratified_ids
 PER_CLASS = 1200
 THRESHOLD = 0.3
 #: A feature marks toxic tokens from this share of toxic documents on, with this precision.
-LEAST_SHARE, LEAST_PRECISION = 0.005, 0.97
+LEAST_SHARE, LEAST_PRECISION = 0.015, 0.97
 #: Features in fewer documents of the sample than this are not kept.
 LEAST_DOCS = 4
 EPOCHS = 8
@@ -157,6 +158,21 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
     return found
 
 
+def without_copies(texts: list[bytes]) -> list[int]:
+    """Places of the texts to learn from: of exact and near copies only the first, since the copies
+    of one toxic text would make each of its words look toxic. A text is a copy if at least half
+    of its eight least hashes of three words are known from texts before."""
+    known: set[int] = set()
+    out = []
+    for k, text in enumerate(texts):
+        w = text.translate(LOWER).split()
+        sketch = sorted({zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))})[:8]
+        if 2 * sum(h in known for h in sketch) < len(sketch):
+            out.append(k)
+        known.update(sketch)
+    return out
+
+
 def token_labels(chains: list[list[bytes]], toxic: list[bool]) -> set[str]:
     """The word and prefix features that mark toxic tokens, by how toxic their documents are."""
     seen = (Counter(), Counter())
@@ -173,6 +189,8 @@ def token_labels(chains: list[list[bytes]], toxic: list[bool]) -> set[str]:
 
 def train(texts: list[bytes], toxic: list[bool], share: float) -> Model:
     """The field and the calibration from labelled texts; share: of toxic ones among all labelled."""
+    kept = without_copies(texts)
+    texts, toxic = [texts[k] for k in kept], [toxic[k] for k in kept]
     if not any(toxic) or all(toxic):
         level = np.log(max(share, 1e-4) / max(1 - share, 1e-4))
         return Model({}, -10.0, np.zeros((2, 2)), np.array([level, 0.0, 0.0]))
