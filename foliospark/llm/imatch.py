@@ -4,76 +4,80 @@ The lexicon holds the terms whose share of documents lies in a band of inverse d
 frequency. Of a document the distinct terms in the lexicon are sorted and hashed, once over the
 whole lexicon and once over each of several randomised subsets of it. The subsets keep terms at
 falling rates, so that documents of any length have subsets that catch one or two of their terms.
+
+Document frequencies are kept by the low BITS bits of a term's 64-bit hash, so the lexicon is a
+bitmap of 64 kB at any corpus size, and a fingerprint is computed where its text is read. The words
+too rare for the band are spread over all places: they add under 250 / 2 ** BITS to a place's share.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import materialize
 
-#: Bounds of a term's share of documents, in 1 / 10000. A document has few distinct terms on
-#: average, so at most that many times 10000 / LEAST terms lie in the band, at any corpus size.
+#: Bounds of a term's share of documents, in 1 / 10000.
 LEAST, MOST = 20, 2000
-#: Subsets of each rate 1/4, 1/8, ... 1/512.
-RATES, EACH = range(2, 10), 6
-SUBSETS = len(RATES) * EACH
-#: The lexicon is broadcast up to this many terms (16 bytes each), and joined by shuffle beyond.
-BROADCAST_TERMS = 500_000
+BITS = 19
+#: Subsets of each rate 1/4, 1/8, ... 1/512; each tests bits of a field of nine of a term's hash.
+RATES, EACH, FIELD, FIRST = range(2, 10), 6, 9, 10
 #: Spark's hash of an array without elements is its seed.
 _EMPTY = 42
 _BLANK = r"[\x20\x09-\x0D]+"
+_LEAST_KEY = -(2**63)
 
 
-def term_hashes(text: Column) -> Column:
+def words(text: Column) -> Column:
     """Distinct 64-bit hashes of the lower-cased words of a text; an empty word among them is nobody's."""
     return F.array_distinct(F.transform(F.split(F.lower(text), _BLANK, -1), lambda w: F.xxhash64(w)))
 
 
-def _mask(h: Column) -> Column:
-    bits = [F.when(F.xxhash64(h, F.lit(k)).bitwiseAND((1 << RATES[k // EACH]) - 1) == 0, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(SUBSETS)]
-    out = bits[0].cast("long")
-    for b in bits[1:]:
-        out = out.bitwiseOR(b.cast("long"))
-    return out
+def _place(h: Column) -> Column:
+    return h.bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(h, mask): hashes of the terms in the band, and the subsets each is in. Counts all documents."""
-    total = docs.count()
-    words = docs.select(F.explode(term_hashes(F.coalesce(F.col(text), F.lit("")))).alias("h")).where(F.col("h") != F.xxhash64(F.lit("")))
-    n = words.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> Column:
+    """A constant array of 2 ** BITS / 64 longs, whose bits are the places of the terms in the band.
+    Counts all documents; a null text counts as one without terms."""
+    total, empty = docs.count(), F.xxhash64(F.lit(""))
+    places = F.array_distinct(F.transform(F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda h: h != empty), lambda h: _place(h).cast("int")))
+    n = docs.select(F.explode(places).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
     band = n.where((F.col("n") * 10000 >= F.lit(total) * least) & (F.col("n") * 10000 <= F.lit(total) * most))
-    return band.select("h", _mask(F.col("h")).alias("mask"))
+    cells = band.groupBy(F.shiftright("place", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits"))
+    bitmap = np.zeros(1 << (BITS - 6), np.int64)
+    for r in cells.collect():
+        bitmap[r["cell"]] = r["bits"]
+    return F.lit(bitmap)
 
 
-def _slots(terms: Column) -> Column:
-    """Hash of all sorted terms, then of those in each subset."""
+def terms(text: Column, bitmap: Column) -> Column:
+    """Sorted hashes of the terms of a text in the lexicon; a text without any is its own only term."""
 
-    def hashed(bit: int | None) -> Column:
-        kept = terms if bit is None else F.filter(terms, lambda t: t["mask"].bitwiseAND(F.lit(1 << bit)) != 0)
-        return F.hash(F.transform(kept, lambda t: t["h"]))
+    def inside(h: Column) -> Column:
+        p = _place(h)
+        cell = F.get(bitmap, F.shiftright(p, 6).cast("int"))
+        return F.call_function("shiftrightunsigned", cell, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    return F.array(*[hashed(k) for k in (None, *range(SUBSETS))])
+    found = F.array_sort(F.filter(words(text), inside))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(text, F.lit("whole"))))
 
 
-def fingerprints(rows: DataFrame, keys: list[str], texts: list[str], words: DataFrame) -> DataFrame:
-    """keys, and for each column t of ``texts`` an array of slot hashes ``t_slots``.
+def slots(found: Column) -> Column:
+    """Hash of all sorted terms, then of those in each subset."""
 
-    keys identify a row. A text without a lexicon term is hashed whole, as its only term.
-    """
-    if words.count() <= BROADCAST_TERMS:
-        words = F.broadcast(words)
-    terms = F.array(*[F.struct(F.lit(k).alias("which"), term_hashes(F.col(t)).alias("hs")) for k, t in enumerate(texts)])
-    every = rows.select(*keys, F.explode(terms).alias("x")).select(*keys, "x.which", F.explode("x.hs").alias("h"))
-    found = every.join(words, "h")
-    sets = found.groupBy(*keys).agg(*[F.array_sort(F.collect_set(F.when(F.col("which") == k, F.struct("h", "mask")))).alias(f"{t}_terms") for k, t in enumerate(texts)])
-    whole = rows.select(*keys, *[F.array(F.struct(F.xxhash64(t, F.lit("whole")).alias("h"), F.lit(0).cast("long").alias("mask"))).alias(f"{t}_whole") for t in texts])
-    both = whole.join(sets, keys, "left")
-    pick = [F.when(F.coalesce(F.size(f"{t}_terms"), F.lit(0)) > 0, F.col(f"{t}_terms")).otherwise(F.col(f"{t}_whole")).alias(f"{t}_picked") for t in texts]
-    both = both.select(*keys, *pick)
-    return both.select(*keys, *[_slots(F.col(f"{t}_picked")).alias(f"{t}_slots") for t in texts])
+    def hashed(bits: int) -> Column:
+        return F.hash(F.filter(found, lambda h: h.bitwiseAND(F.lit(bits)) == 0))
+
+    tests = [((1 << rate) - 1) << (FIRST + FIELD * k) for rate in RATES for k in range(EACH)]
+    return F.array(F.hash(found), *[hashed(t - (1 << 64) if t >> 63 else t) for t in tests])
+
+
+def fingerprint(rows: DataFrame, text: str, bitmap: Column, name: str) -> DataFrame:
+    """rows with the array of slot hashes of a text column (null as empty) as column ``name``."""
+    found = terms(F.coalesce(F.col(text), F.lit("")), bitmap)
+    return rows.withColumn("__terms", found).withColumn(name, slots(F.col("__terms"))).drop("__terms")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,8 +87,8 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(counted, F.lit(0), lambda s, x: s + x) / F.greatest(F.size(counted), F.lit(1))
 
 
-def as_text(slots: Column) -> Column:
-    return F.array_join(F.transform(slots, lambda x: F.when(x == _EMPTY, F.lit("")).otherwise(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))), ":")
+def as_text(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda x: F.when(x == _EMPTY, F.lit("")).otherwise(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))), ":")
 
 
 def followers(docs: DataFrame, key: str, size: Column) -> DataFrame:
@@ -101,41 +105,33 @@ def followers(docs: DataFrame, key: str, size: Column) -> DataFrame:
     return ranged.withColumn("inner", inner).join(ends, "part").select(key, F.coalesce("inner", "end").alias("next_key"), "most")
 
 
-def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, n, next_key, original, edited) for each row: the key with null as the least, a number among
-    the key's rows, the next document's key, the text, and the text with its last half (rounded down)
-    replaced by as much of the beginning of the next document."""
-    docs = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("original"))
-    pairs = materialize(followers(docs, "k", F.length("original")))
-    size = F.length("original")
-    rows = docs.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(size, "original")))
-    heads = rows.where("n = 1").join(pairs.select(F.col("next_key").alias("k"), F.col("k").alias("of"), "most"), "k").select(F.col("of").alias("k"), F.col("k").alias("next_key"), F.left("original", F.floor(F.col("most") / 2).cast("int")).alias("head"))
-    half = F.floor(size / 2).cast("int")
-    changed = F.concat(F.left("original", size - half), F.left("head", half))
-    return rows.join(heads, "k").select("k", "n", "next_key", "original", changed.alias("edited"))
-
-
 def query(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness.
 
-    Null texts count as empty. A null id comes last in the descending order. Rows of one id
-    are all followed by the next id, whose shortest text, and of these the least, stands for it;
-    so does a table of one id follow itself. Other columns are never read.
+    The edited text is the text with its last half (rounded down) replaced by as much of the
+    beginning of the next document, by descending id. Null texts count as empty. A null id comes
+    last. Rows of one id are all followed by the next id, whose shortest text, and of these the
+    least, stands for it; a table of one id follows itself. Other columns are never read.
     """
-    words = materialize(lexicon(docs))
-    rows = edited(docs)
-    kept = rows.select("k", "n", "next_key", "original", "edited")
-    prints = fingerprints(kept, ["k", "n"], ["original", "edited"], words)
-    facts = kept.select("k", "n", "next_key", F.length("original").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    done = materialize(facts.join(prints, ["k", "n"]))
-    of_next = done.where("n = 1").select(F.col("k").alias("next_key"), F.col("original_slots").alias("next_slots"))
-    out = done.join(of_next, "next_key")
+    bitmap = lexicon(docs)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_KEY)).alias("k"), F.coalesce("text", F.lit("")).alias("original"))
+    pairs = materialize(followers(rows, "k", F.length("original")))
+    size = F.length("original")
+    # fingerprints come before the only shuffle of texts; what follows moves them with the beginnings
+    source = fingerprint(rows, "original", bitmap, "own")
+    begins = source.join(pairs.select(F.col("next_key").alias("k"), F.col("k").alias("of"), "most"), "k")
+    begins = begins.select("of", size.alias("size"), F.left("original", F.floor(F.col("most") / 2).cast("int")).alias("head"), F.col("own").alias("next"))
+    least = F.row_number().over(Window.partitionBy("of").orderBy("size", "head", "next"))
+    begins = begins.withColumn("n", least).where("n = 1").select(F.col("of").alias("k"), "head", "next")
+    half = F.floor(size / 2).cast("int")
+    both = source.join(begins, "k").withColumn("edited", F.concat(F.left("original", size - half), F.left("head", half)))
+    out = fingerprint(both, "edited", bitmap, "other")
     return out.select(
-        F.nullif("k", F.lit(-(2**63))).alias("doc_id"),
-        "n_chars",
-        "edited_sha256",
-        as_text(F.col("original_slots")).alias("fingerprint"),
-        as_text(F.col("edited_slots")).alias("edited_fingerprint"),
-        likeness(F.col("original_slots"), F.col("edited_slots")).alias("near_edited"),
-        likeness(F.col("original_slots"), F.col("next_slots")).alias("near_next"),
+        F.nullif("k", F.lit(_LEAST_KEY)).alias("doc_id"),
+        size.cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
