@@ -23,7 +23,8 @@ POSITIVES = 3000
 UNLABELLED = 6000
 THRESHOLD = 0.7
 HIDDEN = 24
-EPOCHS = 60
+#: Steps of the fit, and unlabelled texts a step: small samples are gone through more often.
+STEPS, BATCH = 720, 512
 _N = 14 + 96
 
 
@@ -71,7 +72,7 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     return plus + minus, -prior * sig(-positive) / n_p + g_p, g_u
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS) -> Model:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     both = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(_N), np.ones(_N), [], prior)
@@ -80,9 +81,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
     rng = np.random.default_rng(11)
     layers = [rng.normal(0, 1 / np.sqrt(_N), (_N, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
-    steps = max(1, len(u) // 512)
+    steps = max(1, len(u) // BATCH)
     t = 0
-    for _ in range(epochs):
+    for _ in range(-(-STEPS // steps)):
         pi, ui = rng.permutation(len(p)), rng.permutation(len(u))
         for a, b in zip(np.array_split(pi, steps), np.array_split(ui, steps), strict=True):
             x = np.concatenate([p[a], u[b]])
