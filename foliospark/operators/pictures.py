@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-from foliospark.functions import deflate, images, jpeg
+from foliospark.functions import deflate, images, jpeg, jpeg_decode
 from foliospark.functions.predictor import encode_png_best
 from foliospark.operators.graph import rewritten
 from foliospark.sources.pdf import Document, refs_of
@@ -93,7 +93,7 @@ def decode(doc: Document, num: int, soft_mask: bool) -> Image:
         return skipped("bad dimensions")
     f = leaf_filter(s.dict)
     if f == "DCTDecode":
-        return skipped("jpeg decode failed")
+        return _from_jpeg(doc, s, num, width, height) or skipped("jpeg decode failed")
     if f in _PIXEL_CODECS:
         return skipped("unsupported filter")
     n = components(doc, s.dict)
@@ -107,6 +107,23 @@ def decode(doc: Document, num: int, soft_mask: bool) -> Image:
     return Image(num, width, height, (samples if n == 3 else samples.repeat(3, 1)).tobytes(), None, len(s.data))
 
 
+def _from_jpeg(doc: Document, s: Stream, num: int, width: int, height: int) -> Image | None:
+    """The pixels of a JPEG stream, whose size must be the one its dictionary states."""
+    try:
+        w, h, channels, data = jpeg_decode.decode(_before_codec(s))
+    except (ValueError, PdfError):
+        return None
+    rgb = data if channels == 3 else np.frombuffer(data, np.uint8).repeat(3).tobytes()
+    reason = None if (w, h) == (width, height) else "pixel size mismatch"
+    return Image(num, width, height, rgb if reason is None else b"", reason, len(s.data))
+
+
+def _before_codec(s: Stream) -> bytes:
+    """A stream's data through its filters but for the last."""
+    f = s.dict.get("Filter")
+    return decoded(Stream({"Filter": f[:-1]}, s.data)) if isinstance(f, list) and len(f) > 1 else s.data
+
+
 def image_stream(d: dict, width: int, height: int, data: bytes, codec: str, parms: dict | None = None) -> Stream:
     kept = {k: v for k, v in d.items() if k not in ("Decode", "DecodeParms")}
     new = {"Width": width, "Height": height, "ColorSpace": Name("DeviceRGB"), "BitsPerComponent": 8, "Filter": Name(codec)}

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from foliospark.functions import deflate, images, jpeg, predictor
+from foliospark.functions import deflate, images, jpeg, jpeg_decode, predictor
 
 RNG = random.Random(1)
 INPUTS = [b"", b"a", b"ab" * 3, b"\xab" * 4096, b"The quick brown fox jumps over the lazy dog. " * 200, bytes(RNG.randrange(256) for _ in range(10_000)), bytes(range(256)), bytes(k * 7 % 251 for k in range(512)), bytes(RNG.choice(b"abc ") for _ in range(40_000))]
@@ -75,6 +75,26 @@ def test_jpeg_is_read_by_an_independent_decoder(spark, tmp_path):
         jpeg.encode_rgb(70_000, 1, bytes(210_000), 50)
 
 
+def test_jpeg_decoder_reads_what_the_jvm_writes(spark, tmp_path):
+    """Pictures by the JVM's own writer, read by it and by the decoder here."""
+    jvm = spark.sparkContext._jvm
+    for kind, channels in ((5, 3), (10, 1)):
+        image = jvm.java.awt.image.BufferedImage(37, 21, kind)
+        for x in range(37):
+            for y in range(21):
+                image.setRGB(x, y, (x * 6) << 16 | (y * 11) << 8 | (x + y) * 3)
+        path = str(tmp_path / f"{channels}.jpg")
+        jvm.javax.imageio.ImageIO.write(image, "jpg", jvm.java.io.File(path))
+        w, h, c, data = jpeg_decode.decode(open(path, "rb").read())
+        assert (w, h, c) == (37, 21, channels)
+        i = spark.read.format("image").load(path).first()["image"]
+        want = np.frombuffer(bytes(i["data"]), np.uint8).reshape(21, 37, channels)[..., ::-1].astype(int)
+        assert np.abs(np.frombuffer(data, np.uint8).reshape(21, 37, channels) - want).mean() < 4
+    for bad in (b"", b"\xff\xd8\xff\xd9", b"\xff\xd8" + bytes(40)):
+        with pytest.raises(ValueError):
+            jpeg_decode.decode(bad)
+
+
 def test_quant_scaling():
     base = np.full(64, 16)
     assert set(jpeg.scaled_quant(base, 100)) == {1} and set(jpeg.scaled_quant(base, 1)) == {255}
