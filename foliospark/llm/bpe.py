@@ -23,30 +23,35 @@ from pyspark.sql import types as T
 from foliospark.llm.common import map_texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bytes of pieces encoded in one query, and pieces a worker remembers before it starts anew.
+#: Bytes of pieces encoded in one query.
 QUERY_BYTES = 250_000
-CACHE = 250_000
+#: A worker remembers the pieces of its last texts in two halves of this many; the older half is
+#: forgotten when the newer is full, except for what has been met again meanwhile.
+HALF_CACHE = 300_000
 #: Pieces of more bytes than this are contracted by a heap: a recursion writes all of a piece's
 #: rows at each step, which for a piece of n bytes is n * n rows.
 LONG_PIECE = 400
-_PLACES = 20
+_PLACES = 30
 
+#: Rows (step, w, p, t, x): token t of piece w at place p, and the place of the next token or -1.
+#: A piece without a pair left passes once more, as step -1.
 _ENCODE = f"""
-WITH RECURSIVE seq(step, w, p, t) AS (
-  SELECT 0, w, p, t FROM start
+WITH RECURSIVE seq(step, w, p, t, x) AS (
+  SELECT 0, w, p, t, x FROM start
   UNION ALL
-  SELECT step + 1, w, p, CASE WHEN p = k & {(1 << _PLACES) - 1} THEN k >> {_PLACES} ELSE t END
-  FROM (
-    SELECT step, w, p, t, lag(p) OVER (PARTITION BY w ORDER BY p) AS before,
-           min((m << {_PLACES}) | p) OVER (PARTITION BY w) AS k
-    FROM (SELECT step, w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next FROM seq)
-    LEFT JOIN merges ON l = t AND r = next
+  (
+    WITH pair AS (
+      SELECT a.w, (m << {_PLACES}) | a.p AS k, b.p AS gone, b.x AS after
+      FROM seq a JOIN seq b ON a.x = b.p JOIN merges ON l = a.t AND r = b.t WHERE a.step >= 0 AND b.step >= 0
+    ), best AS (
+      SELECT w, min(k) AS k, arg_min(gone, k) AS gone, arg_min(after, k) AS after FROM pair GROUP BY w
+    ), kept AS (
+      SELECT s.*, k, after, s.p = k & {(1 << _PLACES) - 1} AS here FROM seq s LEFT JOIN best ON s.w = best.w WHERE s.step >= 0 AND (k IS NULL OR s.p <> gone)
+    )
+    SELECT CASE WHEN k IS NULL THEN -1 ELSE step + 1 END, w, p, CASE WHEN here THEN k >> {_PLACES} ELSE t END, CASE WHEN here THEN after ELSE x END FROM kept
   )
-  WHERE k IS NOT NULL AND (before IS NULL OR before <> k & {(1 << _PLACES) - 1})
-), done AS (
-  SELECT w, p, t FROM seq QUALIFY step = max(step) OVER (PARTITION BY w)
 )
-SELECT w, p, t FROM done"""
+SELECT w, p, t FROM seq WHERE step < 0"""
 
 _DECODE = """
 SELECT w, count(*) AS n, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids, string_agg(h, '' ORDER BY p) AS bytes
@@ -62,6 +67,7 @@ class Codec:
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         l, r, m = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
@@ -78,9 +84,11 @@ class Codec:
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         lengths = np.array([len(x) for x in pieces])
         w = np.repeat(np.arange(len(pieces)), lengths)
-        p = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        p = np.arange(len(flat))
         single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self._fill("start", pa.table({"w": w, "p": p, "t": single[flat]}))
+        last = np.zeros(len(flat), bool)
+        last[np.cumsum(lengths) - 1] = True
+        self._fill("start", pa.table({"w": w, "p": p, "t": single[flat], "x": np.where(last, -1, p + 1)}))
         return self.db.sql(_ENCODE).to_arrow_table()
 
     def _contract_long(self, piece: bytes) -> list[int]:
@@ -136,12 +144,16 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[tuple[int, str, bytes]]]:
         """For each text its pieces as (number of ids, ids as text, decoded bytes)."""
         cut = [self.pattern.findall(x) for x in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = {p for x in cut for p in x if p not in self.known}
+        if len(self.known) > HALF_CACHE:
+            self.known, self.older = {}, self.known
+        known, older, fresh = self.known, self.older, []
+        for p in set().union(*cut).difference(known):
+            if p in older:
+                known[p] = older[p]
+            else:
+                fresh.append(p)
         if fresh:
             self._remember(fresh)
-        known = self.known
         return [[known[p] for p in x] for x in cut]
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
