@@ -26,7 +26,7 @@ from foliospark.llm.sampling import of_documents, stratified_ids
 PER_CLASS = 1200
 THRESHOLD = 0.3
 #: A feature marks toxic tokens from this share of toxic documents on, with this precision.
-LEAST_SHARE, LEAST_PRECISION = 0.015, 0.97
+LEAST_SHARE, LEAST_PRECISION = 0.015, 0.95
 #: Features in fewer documents of the sample than this are not kept.
 LEAST_DOCS = 4
 EPOCHS = 8
@@ -160,14 +160,14 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 
 def without_copies(texts: list[bytes]) -> list[int]:
     """Places of the texts to learn from: of exact and near copies only the first, since the copies
-    of one toxic text would make each of its words look toxic. A text is a copy if at least half
+    of one toxic text would make each of its words look toxic. A text is a copy if at least three
     of its eight least hashes of three words are known from texts before."""
     known: set[int] = set()
     out = []
     for k, text in enumerate(texts):
         w = text.translate(LOWER).split()
         sketch = sorted({zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))})[:8]
-        if 2 * sum(h in known for h in sketch) < len(sketch):
+        if 8 * sum(h in known for h in sketch) < 3 * len(sketch):
             out.append(k)
         known.update(sketch)
     return out
@@ -181,7 +181,7 @@ def token_labels(chains: list[list[bytes]], toxic: list[bool]) -> set[str]:
         seen[bad].update({x for w in set(words) for x in token_features(w) if x[0] in "wp"})
     out = set()
     for x, n in seen[1].items():
-        bad, good = n / total[1], seen[0][x] / total[0]
+        bad, good = n / total[1], (seen[0][x] + 0.5) / total[0]
         if n >= LEAST_DOCS and bad >= LEAST_SHARE and bad / (bad + good) >= LEAST_PRECISION:
             out.add(x)
     return out
