@@ -7,6 +7,7 @@ gives a row with ``error_class`` and ``error_msg``. Content of any length stays
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ from foliospark.operators.graph import prune, reachable
 from foliospark.operators.marks import page_box, page_marks
 from foliospark.sources.pdf import Document, dump, load, refs_of
 from foliospark.sources.pdfsyntax import Name, PdfError, Ref, Stream, filters_of
+from foliospark.sources.pdfsyntax import operations as content_operations
 
 BATCH_ROWS = 16
 _ERRORS = "error_class string, error_msg string"
@@ -159,6 +161,37 @@ def image_table(files: DataFrame) -> DataFrame:
     return per_file(files, "obj_num long, width long, height long, rgb binary, skip_reason string, original_len long, fingerprint binary, fnv binary, kind string", kernel)
 
 
+def fields(files: DataFrame) -> DataFrame:
+    """One row a name that a file's form already has."""
+    return per_file(files, "name string", lambda c: [(n,) for n in sorted(existing_names(load(c)))])
+
+
+def annotations(files: DataFrame) -> DataFrame:
+    """One row an annotation that keeps slots off its rectangle."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        doc = load(content)
+        return [(no, *b) for no, num in enumerate(doc.pages(), 1) for b in occupied(doc, num)]
+
+    return per_file(files, "page_no int, llx double, lly double, urx double, ury double", kernel)
+
+
+def operations(files: DataFrame) -> DataFrame:
+    """One row an operator of a page's content and how often it occurs."""
+
+    def kernel(content: bytes) -> list[tuple]:
+        doc = load(content)
+        out = []
+        for no, num in enumerate(doc.pages(), 1):
+            try:
+                out += [(no, op.decode("latin-1"), n) for op, n in Counter(op for op, _ in content_operations(doc.content(num))).items()]
+            except PdfError:
+                continue
+        return out
+
+    return per_file(files, "page_no int, operator string, n long", kernel)
+
+
 # compress
 
 

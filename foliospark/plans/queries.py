@@ -99,6 +99,52 @@ def image_dedup(spark: SparkSession, d: str) -> DataFrame:
     return done.join(left, "path", "left").select(F.col("path").cast("long").alias("vec_id"), "images_deduped", F.coalesce("image_streams", F.lit(1)).cast("long").alias("image_streams"))
 
 
+@query("SELECT c_custkey, c_name AS name FROM customer UNION ALL SELECT c_custkey, 'Agree' FROM customer")
+def existing_fields(spark: SparkSession, d: str) -> DataFrame:
+    once = files.prepare_form(synthetic.form_files(table(spark, d, "customer")))
+    return files.fields(once.select("path", F.col("output").alias("content"))).select(F.col("path").cast("long").alias("c_custkey"), "name")
+
+
+@query("SELECT c_custkey, 2::BIGINT AS annotations FROM customer")
+def occupied_boxes(spark: SparkSession, d: str) -> DataFrame:
+    once = files.prepare_form(synthetic.form_files(table(spark, d, "customer")))
+    return files.annotations(once.select("path", F.col("output").alias("content"))).groupBy(F.col("path").cast("long").alias("c_custkey")).agg(F.count(F.lit(1)).alias("annotations"))
+
+
+@query(f"""SELECT operator, sum(n)::BIGINT AS n FROM (
+  SELECT 'Tj' AS operator, len(string_split(text, chr(10))) AS n FROM documents UNION ALL SELECT 'T*', len(string_split(text, chr(10))) FROM documents
+  UNION ALL SELECT unnest(['BT', 'ET', 'Tf', 'TL', 'Td']), {_PAGES} FROM documents) GROUP BY operator""")
+def content_operators(spark: SparkSession, d: str) -> DataFrame:
+    out = files.operations(synthetic.text_files(table(spark, d, "documents")))
+    return out.groupBy("operator").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT doc_id, 1::BIGINT AS streams_reflated, true AS same_text FROM documents WHERE n_chars >= 200")
+def reflated_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Hexadecimal contents deflated anew; the text on the page stays what it was."""
+    docs = table(spark, d, "documents").where("n_chars >= 200")
+    done = files.compress(synthetic.hex_files(docs))
+    runs = files.text_runs(done.select("path", F.col("output").alias("content"))).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("shown"))
+    both = done.join(runs, "path").join(docs.select(F.col("doc_id").cast("string").alias("path"), "text"), "path")
+    return both.select(F.col("path").cast("long").alias("doc_id"), "streams_reflated", (F.col("shown") == F.col("text")).alias("same_text"))
+
+
+@query("SELECT vec_id, (label + 1)::BIGINT AS uses FROM embeddings")
+def soft_mask_uses(spark: SparkSession, d: str) -> DataFrame:
+    rows = files.objects(synthetic.masked_files(table(spark, d, "embeddings"))).where("smask_ref IS NOT NULL")
+    return rows.groupBy(F.col("path").cast("long").alias("vec_id"), "smask_ref").agg(F.count(F.lit(1)).alias("uses")).drop("smask_ref")
+
+
+@query("""SELECT vec_id, count(*) FILTER (WHERE k > 0) AS images, 1::BIGINT AS masks FROM (SELECT vec_id, unnest(range(label + 2)) AS k FROM embeddings) GROUP BY vec_id""")
+def soft_mask_members(spark: SparkSession, d: str) -> DataFrame:
+    """Images that are soft masks of others, by a semi-join on the file and the number."""
+    rows = files.objects(synthetic.masked_files(table(spark, d, "embeddings"))).where("subtype = 'Image'").select("path", "obj_num", "smask_ref")
+    used = rows.where("smask_ref IS NOT NULL").select("path", F.col("smask_ref").alias("obj_num"))
+    masks = rows.join(used, ["path", "obj_num"], "left_semi").withColumn("mask", F.lit(1))
+    out = rows.join(masks.select("path", "obj_num", "mask"), ["path", "obj_num"], "left")
+    return out.groupBy(F.col("path").cast("long").alias("vec_id")).agg(F.count_if(F.col("mask").isNull()).alias("images"), F.count("mask").alias("masks"))
+
+
 # graphs, duplicates
 
 _EDGES = """SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON r_regionkey = n_regionkey
@@ -127,6 +173,33 @@ def exact_dedup_docs(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(groups, "h").select("doc_id", "survivor", "copies")
 
 
+@query("""WITH s AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS kept FROM customer)
+SELECT o_orderkey, kept AS customer FROM orders JOIN s ON o_custkey = c_custkey""")
+def reference_remap(spark: SparkSession, d: str) -> DataFrame:
+    """References to merged rows turned to the surviving one; the others keep theirs."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    kept = c.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("kept"))
+    to = c.join(kept, ["c_nationkey", "c_mktsegment"]).where("c_custkey <> kept").select("c_custkey", "kept")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return orders.join(to, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("kept", "o_custkey").alias("customer"))
+
+
+@query("""SELECT c_custkey, c_mktsegment || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS name
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS n FROM customer)""")
+def field_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names made unique in order, a fold over each page's slots."""
+    import pandas as pd
+
+    from foliospark.operators.slots import TEXT, Box, Slot, named
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("c_custkey")
+        slots = named([Slot(1, TEXT, Box(0, 0, 1, 1), n) for n in rows["c_mktsegment"]], ())
+        return pd.DataFrame({"c_custkey": rows["c_custkey"].to_numpy(), "name": [s.name for s in slots]})
+
+    return table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment").groupBy("c_nationkey").applyInPandas(fold, "c_custkey long, name string")
+
+
 # boxes
 
 _BOX = "(p_partkey * 37 % 500)::DOUBLE AS llx, (p_partkey * 53 % 700)::DOUBLE AS lly, (p_partkey * 37 % 500 + p_size * 5 % 260)::DOUBLE AS urx, (p_partkey * 53 % 700 + p_size * 3 % 60)::DOUBLE AS ury"

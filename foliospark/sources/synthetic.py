@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.sources.pdf import build
-from foliospark.sources.pdfsyntax import Name, Stream, encoded, bytes_of
+from foliospark.sources.pdf import build, dump, load
+from foliospark.sources.pdfsyntax import Name, Ref, Stream, bytes_of, encoded
 
 LINES = 40
 SIDE = 8
@@ -49,6 +49,34 @@ def image_file(key: int, vector: list[float], label: int) -> bytes:
     return build([b"q 100 0 0 100 72 600 cm /Im1 Do Q"], images=[[Stream(dict(d), data) for _ in range(label + 1)]])
 
 
+def hex_file(doc_id: int, text: str | None) -> bytes:
+    """A page whose content is hexadecimal, so that deflating it anew always pays."""
+    body = b"BT /F1 10 Tf 72 740 Td " + encoded(bytes_of(text or "")) + b" Tj ET"
+    doc = load(build([body]))
+    doc.objects = {n: Stream({"Filter": Name("ASCIIHexDecode")}, v.data.hex().encode() + b">") if isinstance(v, Stream) else v for n, v in doc.objects.items()}
+    return dump(doc)
+
+
+def masked_file(key: int, label: int) -> bytes:
+    """A page with label + 1 images that share one soft mask."""
+    gray = {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": 2, "Height": 2, "ColorSpace": Name("DeviceGray"), "BitsPerComponent": 8}
+    doc = load(build([b""], images=[[Stream(dict(gray), bytes([k] * 4)) for k in range(label + 1)]]))
+    mask = max(doc.objects) + 1
+    for v in doc.objects.values():
+        if isinstance(v, Stream) and v.dict.get("Subtype") == "Image":
+            v.dict["SMask"] = Ref(mask, 0)
+    doc.objects[mask] = Stream(dict(gray), bytes(4))
+    return dump(doc)
+
+
+def hex_files(documents: DataFrame) -> DataFrame:
+    return made(documents, ["doc_id", "text"], hex_file)
+
+
+def masked_files(embeddings: DataFrame) -> DataFrame:
+    return made(embeddings, ["vec_id", "label"], masked_file)
+
+
 def text_files(documents: DataFrame) -> DataFrame:
     return made(documents, ["doc_id", "text"], text_file)
 
