@@ -15,10 +15,12 @@ matrix products, once for each pair of context classes that a worker meets.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,14 @@ from foliospark.llm.common import LOWER, fold, held_out, materialize, utf8_list
 #: Words that are classes of their own, and classes of the others.
 OWN, SHARED = 768, 256
 CLASSES = OWN + SHARED
-DIM, NOISE, BATCH = 24, 64, 4096
+DIM, NOISE, BATCH = 24, 48, 4096
 #: Words whose counts every worker holds; rarer ones are looked up by a join.
 HEAD = 50_000
 #: Documents that the driver starts the model on before the pass over all of them.
 START_DOCS = 400
-RATE = 0.08
+RATE = 0.04
 _END = b""
+_CLASS_BITS = 11
 _PAD = CLASSES
 
 
@@ -59,19 +62,22 @@ class Parameters:
     def fresh(cls, noise: np.ndarray) -> Parameters:
         rng = np.random.default_rng(3)
         r, q = rng.normal(0, 0.1, (CLASSES + 1, DIM)), rng.normal(0, 0.1, (CLASSES, DIM))
-        return cls(r, q, np.log(noise), np.ones((2, DIM)))
+        return cls(r, q, np.log(noise), np.ones((2, DIM))).cast(np.float32)
 
-    def copy(self) -> Parameters:
-        return Parameters(self.R.copy(), self.Q.copy(), self.b.copy(), self.C.copy())
+    def cast(self, kind: type) -> Parameters:
+        return Parameters(*(x.astype(kind) for x in (self.R, self.Q, self.b, self.C)))
 
     def predict(self, h: np.ndarray) -> np.ndarray:
         return self.C[0] * self.R[h[:, 0]] + self.C[1] * self.R[h[:, 1]]
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    out = np.empty((n, rows.shape[1]))
-    for d in range(rows.shape[1]):
-        out[:, d] = np.bincount(at, weights=rows[:, d], minlength=n)
+    """Sums of rows by the number in ``at``."""
+    order = np.argsort(at.astype(np.int16), kind="stable")
+    ordered = at[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[ordered[starts]] = np.add.reduceat(rows[order], starts, axis=0)
     return out
 
 
@@ -79,10 +85,10 @@ class Trainer:
     """Noise-contrastive steps under AdaGrad. A batch of tokens shares its noise samples."""
 
     def __init__(self, start: Parameters, noise: np.ndarray, seed: int):
-        self.p, self.noise, self.rng = start.copy(), noise, np.random.default_rng(seed)
+        self.p, self.noise, self.rng = start.cast(np.float32), noise, np.random.default_rng(seed)
         self.sums = [np.full_like(x, 1e-2) for x in (self.p.R, self.p.Q, self.p.b, self.p.C)]
         self.seen = np.zeros(CLASSES + 1)
-        self.lift = np.log(NOISE * noise)
+        self.lift = np.log(NOISE * noise).astype(np.float32)
 
     def step(self, h: np.ndarray, w: np.ndarray) -> None:
         p = self.p
@@ -94,7 +100,7 @@ class Trainer:
         gn = sig(q @ p.Q[k].T + p.b[k] - self.lift[k])
         dq = gp[:, None] * p.Q[w] + gn @ p.Q[k]
         dQ = _scatter(np.concatenate([w, k]), np.concatenate([gp[:, None] * q, gn.T @ q]), CLASSES)
-        db = np.bincount(np.concatenate([w, k]), weights=np.concatenate([gp, gn.sum(0)]), minlength=CLASSES)
+        db = np.bincount(np.concatenate([w, k]), weights=np.concatenate([gp, gn.sum(0)]), minlength=CLASSES).astype(np.float32)
         dR = _scatter(np.concatenate([h[:, 0], h[:, 1]]), np.concatenate([p.C[0] * dq, p.C[1] * dq]), CLASSES + 1)
         dC = np.stack([(r1 * dq).sum(0), (r2 * dq).sum(0)])
         for x, s, g in zip((p.R, p.Q, p.b, p.C), self.sums, (dR, dQ, db, dC), strict=True):
@@ -120,10 +126,10 @@ class Vocabulary:
     own: dict[bytes, int]
     totals: np.ndarray = field(repr=False)
 
-    def facts(self, word: bytes) -> tuple[int, int]:
-        """A word's class, and its count where the head has it, else -1."""
+    def facts(self, word: bytes) -> int:
+        """A word's class, and above it its count where the head has it, else 0, as one number."""
         k = self.own.get(word, -1)
-        return (k if k >= 0 else shared_class(word)), self.head.get(word, -1)
+        return (k if k >= 0 else shared_class(word)) | self.head.get(word, 0) << _CLASS_BITS
 
 
 class _Facts(dict):
@@ -131,7 +137,7 @@ class _Facts(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
         x = self[word] = self.vocabulary.facts(word)
@@ -183,10 +189,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _batch(texts: list[bytes], facts: _Facts) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, list[int]]:
+    """Tokens of each text, and of all of them the classes and the head's counts; lengths by text."""
     words = [tokens(x) for x in texts]
-    flat = [facts[w] for x in words for w in x]
-    table = np.array(flat, np.int64).reshape(-1, 2)
-    return words, table[:, 0], table[:, 1], [len(x) for x in words]
+    flat = np.fromiter(map(facts.__getitem__, chain.from_iterable(words)), np.int64)
+    return words, flat & ((1 << _CLASS_BITS) - 1), flat >> _CLASS_BITS, [len(x) for x in words]
 
 
 def train(docs: DataFrame, key: str, text: str, words: Vocabulary) -> Parameters:
@@ -239,7 +245,7 @@ class Scorer:
     """Normalised log10 probabilities of classes given two before, with the sums met so far."""
 
     def __init__(self, p: Parameters):
-        self.p = p
+        self.p = p.cast(np.float64)
         self.log_z = np.full((CLASSES + 1) * (CLASSES + 1), np.nan)
 
     def logs(self, classes: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -250,11 +256,22 @@ class Scorer:
             some = new[at : at + 2048]
             s = self.p.predict(np.stack([some // (CLASSES + 1), some % (CLASSES + 1)], 1)) @ self.p.Q.T + self.p.b
             most = s.max(1)
-            self.log_z[some] = most + np.log(np.exp(s - most[:, None]).sum(1))
+            self.log_z[some] = most + np.log(np.exp((s - most[:, None]).astype(np.float32)).sum(1, dtype=np.float64))
         s = (self.p.predict(h) * self.p.Q[classes]).sum(1) + self.p.b[classes]
         return (s - self.log_z[pair]) / math.log(10)
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, p: Parameters) -> Scorer:
+    """The process's scorer of a model: a worker keeps the last one's sums from task to task."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(p)
+    return _SCORERS[name]
+
+
 def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
@@ -266,20 +283,21 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     params = train(training, key, text, words)
     lift = np.log10(words.totals)
     log_n = math.log10(words.n + words.v + 1)
-    v = words.v
+    v, name = words.v, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts, scorer, row = _Facts(words), Scorer(params), TaskContext.get().partitionId() << 40
+        facts, scorer, row = _Facts(words), _scorer(name, params), TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue
             split, c, n, lengths = _batch(utf8_list(batch.column(1)), facts)
             starts = np.cumsum([0, *lengths[:-1]])
             logs = scorer.logs(c, contexts(c, lengths)) if v else np.zeros(len(c))
-            seen = n >= 0
-            counted = np.where(seen, np.log10(np.maximum(n, 0) + 1.0), 0.0)
+            seen = n > 0
+            counted = np.log10(n + 1.0)
             logs = logs + np.where(c >= OWN, counted - lift[c], 0.0) if v else logs
-            rare = [list(Counter(w for w, s in zip(x, seen[a : a + len(x)], strict=True) if not s).items()) for x, a in zip(split, starts, strict=True)]
+            unseen = (~seen).tolist()
+            rare = [list(Counter(compress(x, unseen[a : a + len(x)])).items()) for x, a in zip(split, starts, strict=True)]
             offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
             flat = pa.StructArray.from_arrays([pa.array([w for x in rare for w, _ in x], pa.binary()), pa.array([k for x in rare for _, k in x], pa.int32())], names=["word", "tf"])
             yield pa.RecordBatch.from_arrays(
