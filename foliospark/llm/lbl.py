@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import LOWER, fold, held_out, materialize, utf8_list
+from foliospark.llm.common import LOWER, fold, held_out, materialize, small_batches, utf8_list
 
 #: Words that are classes of their own, and classes of the others.
 OWN, SHARED = 768, 256
@@ -37,6 +37,9 @@ CLASSES = OWN + SHARED
 DIM, NOISE, BATCH = 24, 48, 4096
 #: Words whose counts every worker holds; rarer ones are looked up by a join.
 HEAD = 50_000
+#: Words a worker remembers before it starts anew, words it counts before it passes them on, and
+#: texts and contexts handled at once: they bound its memory.
+CACHE, COUNTED, TEXTS, CONTEXTS = 150_000, 100_000, 250, 512
 #: Documents that the driver starts the model on before the pass over all of them.
 START_DOCS = 400
 RATE = 0.04
@@ -138,7 +141,7 @@ class _Facts(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > CACHE:
             self.clear()
         x = self[word] = self.vocabulary.facts(word)
         return x
@@ -166,11 +169,17 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word, class, c) over all rows; the end of a text is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array([shared_class(w) for w in n], pa.int32()), pa.array(n.values(), pa.int64())], names=["word", "class", "c"])
+
+        n = Counter()
         for batch in batches:
-            n = Counter()
             for x in utf8_list(batch.column(0)):
                 n.update(tokens(x))
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.binary()), pa.array([shared_class(w) for w in n], pa.int32()), pa.array(n.values(), pa.int64())], names=["word", "class", "c"])
+            if len(n) > COUNTED:
+                yield counted()
+                n.clear()
+        yield counted()
 
     return docs.select(text).mapInArrow(run, "word binary, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
 
@@ -252,8 +261,8 @@ class Scorer:
         pair = h[:, 0] * (CLASSES + 1) + h[:, 1]
         new = np.unique(pair)
         new = new[np.isnan(self.log_z[new])]
-        for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
+        for at in range(0, len(new), CONTEXTS):
+            some = new[at : at + CONTEXTS]
             s = self.p.predict(np.stack([some // (CLASSES + 1), some % (CLASSES + 1)], 1)) @ self.p.Q.T + self.p.b
             most = s.max(1)
             self.log_z[some] = most + np.log(np.exp((s - most[:, None]).astype(np.float32)).sum(1, dtype=np.float64))
@@ -328,5 +337,6 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
 
 
 def query(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession, TEXTS)
     out = score(docs, docs.where(fold("doc_id", 7) != 2))
     return out.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
