@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     prior = 0.5 if share is None else min(max(share, 0.01), 0.99)
     rows = docs.select(key, text)
     trusted = stratified_ids(labels.where(F.col(label) == 1), key, label, POSITIVES)
-    some = stratified_ids(docs.select(key, F.lit(0).alias("__any")), key, "__any", UNLABELLED)
+    some = docs.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(UNLABELLED)
     positive, _ = _matrix(of_documents(rows, trusted, key), text, [key])
     unlabelled, _ = _matrix(of_documents(rows, some, key), text, [key])
     return train(positive, unlabelled, prior)
