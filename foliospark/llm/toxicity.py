@@ -2,7 +2,9 @@
 
 A chain is one line of a text, its tokens the words. Labels are given for documents only, so
 training tokens are labelled through them: a word or a prefix of words counts as toxic where
-its documents are toxic almost always and often enough. The field is fitted on these tokens.
+its documents are toxic almost always, and surely so by a confidence bound, in however small a share
+of toxic documents. One without any such token has its likeliest marked, in it alone. The field is
+fitted on these tokens.
 Forward-backward marginals give each token's probability; a document's score is a calibrated
 function of their maximum and their sum, and tokens likelier toxic than not are its spans.
 """
@@ -25,8 +27,9 @@ from foliospark.llm.sampling import of_documents, stratified_ids
 #: Labelled documents of each class at most that the field is fitted on.
 PER_CLASS = 1200
 THRESHOLD = 0.3
-#: A feature marks toxic tokens from this share of toxic documents on, with this precision.
-LEAST_SHARE, LEAST_PRECISION = 0.015, 0.95
+#: A feature marks toxic tokens with this precision, if both classes were of one size, and where its
+#: lower confidence bound (SURE standard deviations) is that high, too.
+LEAST_PRECISION, LEAST_BOUND, SURE = 0.95, 0.75, 1.96
 #: Features in fewer documents of the sample than this are not kept.
 LEAST_DOCS = 4
 EPOCHS = 8
@@ -161,29 +164,60 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 def without_copies(texts: list[bytes]) -> list[int]:
     """Places of the texts to learn from: of exact and near copies only the first, since the copies
     of one toxic text would make each of its words look toxic. A text is a copy if at least three
-    of its eight least hashes of three words are known from texts before."""
-    known: set[int] = set()
+    of its eight least hashes of three words are those of one and the same text kept before."""
+    holders: dict[int, list[int]] = {}
     out = []
     for k, text in enumerate(texts):
         w = text.translate(LOWER).split()
         sketch = sorted({zlib.crc32(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))})[:8]
-        if 8 * sum(h in known for h in sketch) < 3 * len(sketch):
+        shared = Counter(j for h in sketch for j in holders.get(h, ()))
+        if 8 * max(shared.values(), default=0) < 3 * len(sketch):
             out.append(k)
-        known.update(sketch)
+            for h in sketch:
+                holders.setdefault(h, []).append(k)
     return out
 
 
-def token_labels(chains: list[list[bytes]], toxic: list[bool]) -> set[str]:
-    """The word and prefix features that mark toxic tokens, by how toxic their documents are."""
+def surely(n: int, other: int, share: float) -> float:
+    """Lower bound of a feature's precision, if both classes were of one size: Wilson's bound of the share
+    of toxic ones among the n + other documents that hold it; share: of toxic ones among all."""
+    m, z = n + other, SURE * SURE
+    low = (n + z / 2 - SURE * (n * other / m + z / 4) ** 0.5) / (m + z)
+    return low * (1 - share) / (low * (1 - share) + (1 - low) * share)
+
+
+def token_labels(chains: list[list[bytes]], toxic: list[bool]) -> tuple[set[str], dict[str, float]]:
+    """The word and prefix features that mark toxic tokens, by how toxic their documents are, and the
+    bounds of those that are likelier in toxic documents than not."""
     seen = (Counter(), Counter())
     total = [max(1, toxic.count(False)), max(1, toxic.count(True))]
     for words, bad in zip(chains, toxic, strict=True):
         seen[bad].update({x for w in set(words) for x in token_features(w) if x[0] in "wp"})
-    out = set()
+    marks, likely = set(), {}
     for x, n in seen[1].items():
-        bad, good = n / total[1], (seen[0][x] + 0.5) / total[0]
-        if n >= LEAST_DOCS and bad >= LEAST_SHARE and bad / (bad + good) >= LEAST_PRECISION:
-            out.add(x)
+        if n < LEAST_DOCS:
+            continue
+        bad, good, bound = n / total[1], (seen[0][x] + 0.5) / total[0], surely(n, seen[0][x], total[1] / sum(total))
+        if bound >= LEAST_BOUND and bad / (bad + good) >= LEAST_PRECISION:
+            marks.add(x)
+        if bound > 0.5:
+            likely[x] = bound
+    return marks, likely
+
+
+def toxic_words(chains: list[list[bytes]], toxic: list[bool]) -> list[set[bytes]]:
+    """The words of each text to learn as toxic: those marked, or without any the likeliest. A toxic
+    document has none only if all its features are as frequent in clean ones or too rare to learn."""
+    marks, likely = token_labels(chains, toxic)
+    out: list[set[bytes]] = []
+    for words, bad in zip(chains, toxic, strict=True):
+        features = {w: token_features(w) for w in set(words)} if bad else {}
+        found = {w for w, fs in features.items() if any(x in marks for x in fs)}
+        if not found:
+            best = {w: max((likely.get(x, 0.0) for x in fs), default=0.0) for w, fs in features.items()}
+            top = max(best.values(), default=0.0)
+            found = {w for w, x in best.items() if x == top > 0}
+        out.append(found)
     return out
 
 
@@ -197,16 +231,15 @@ def train(texts: list[bytes], toxic: list[bool], share: float) -> Model:
     words, lengths, per_text = _chains(texts)
     ends = np.cumsum(per_text)
     chains = [words[e - n : e] for e, n in zip(ends, per_text, strict=True)]
-    marks = token_labels(chains, toxic)
+    marked = toxic_words(chains, toxic)
     docs_with = Counter(x for c in chains for x in {f for w in set(c) for f in token_features(w)})
     index = {x: k + 1 for k, x in enumerate(sorted(x for x, n in docs_with.items() if n >= LEAST_DOCS))}
-    known: dict[bytes, tuple[list[int], bool]] = {}
+    known: dict[bytes, list[int]] = {}
     for w in set(words):
         fs = token_features(w)
-        known[w] = ([index.get(x, 0) for x in fs] + [0] * (6 - len(fs)), any(x in marks for x in fs))
-    flags = np.repeat(np.array(toxic, bool), per_text)
-    x = np.array([known[w][0] for w in words], np.int32)
-    y = np.array([known[w][1] for w in words], bool) & flags
+        known[w] = [index.get(x, 0) for x in fs] + [0] * (6 - len(fs))
+    x = np.array([known[w] for w in words], np.int32)
+    y = np.array([w in found for c, found in zip(chains, marked, strict=True) for w in c], bool)
     of = np.repeat(np.arange(len(lengths)), lengths)
     first = np.concatenate([[True], of[1:] != of[:-1]])
     weights, bias, trans = np.zeros(len(index) + 1), -2.0, np.zeros((2, 2))
