@@ -5,9 +5,10 @@ frequency. Of a document the distinct terms in the lexicon are sorted and hashed
 whole lexicon and once over each of several randomised subsets of it. The subsets keep terms at
 falling rates, so that documents of any length have subsets that catch one or two of their terms.
 
-Document frequencies are kept by the low BITS bits of a term's 64-bit hash, so the lexicon is a
-bitmap of 64 kB at any corpus size, and a fingerprint is computed where its text is read. The words
-too rare for the band are spread over all places: they add under 250 / 2 ** BITS to a place's share.
+Documents are first counted by place, the low BITS bits of a term's 64-bit hash. A place has at
+least the count of each of its terms, so only terms in places with enough are counted exactly, by
+their hashes. A document's mean number of distinct terms over LEAST bounds the terms in the band at
+any corpus size; membership is exact, in a table of two possible slots a term that goes with the plan.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from foliospark.llm.common import materialize
 #: Bounds of a term's share of documents, in 1 / 10000.
 LEAST, MOST = 20, 2000
 BITS = 19
-#: Subsets of each rate 1/4, 1/8, ... 1/512; each tests bits of a field of nine of a term's hash.
-RATES, EACH, FIELD, FIRST = range(2, 10), 6, 9, 10
+#: Subsets of each rate 1/4, 1/8, ... 1/512; each tests bits of its own seeded hash of a term.
+RATES, EACH = range(2, 10), 6
 #: Spark's hash of an array without elements is its seed.
 _EMPTY = 42
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -38,27 +39,80 @@ def _place(h: Column) -> Column:
     return h.bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> Column:
-    """A constant array of 2 ** BITS / 64 longs, whose bits are the places of the terms in the band.
-    Counts all documents; a null text counts as one without terms."""
+def _constant(values: np.ndarray) -> Column:
+    """An array of longs as one constant, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+
+
+def _bitmap(places: np.ndarray) -> Column:
+    """A constant array of 2 ** BITS / 64 longs with the bits of these places."""
+    bitmap = np.zeros(1 << (BITS - 6), np.int64)
+    np.bitwise_or.at(bitmap, places >> 6, np.int64(1) << (places & 63))
+    return _constant(bitmap)
+
+
+def _in_bitmap(h: Column, bitmap: Column) -> Column:
+    p = _place(h)
+    cell = F.get(bitmap, F.shiftright(p, 6).cast("int"))
+    return F.call_function("shiftrightunsigned", cell, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def band(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> np.ndarray:
+    """The hashes of the terms in the band, by exact counts over all documents; a null text counts
+    as one without terms."""
     total, empty = docs.count(), F.xxhash64(F.lit(""))
-    places = F.array_distinct(F.transform(F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda h: h != empty), lambda h: _place(h).cast("int")))
+    found = F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda h: h != empty)
+    places = F.array_distinct(F.transform(found, lambda h: _place(h).cast("int")))
     n = docs.select(F.explode(places).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-    band = n.where((F.col("n") * 10000 >= F.lit(total) * least) & (F.col("n") * 10000 <= F.lit(total) * most))
-    cells = band.groupBy(F.shiftright("place", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, place & 63)")).alias("bits"))
-    bitmap = np.zeros(1 << (BITS - 6), np.int64)
-    for r in cells.collect():
-        bitmap[r["cell"]] = r["bits"]
-    return F.lit(bitmap)
+    often = n.where(F.col("n") * 10000 >= F.lit(total) * least).select("place").toArrow()["place"].to_numpy().astype(np.int64)
+    some = _bitmap(often)
+    terms = docs.select(F.explode(F.filter(found, lambda h: _in_bitmap(h, some))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    terms = terms.where((F.col("n") * 10000 >= F.lit(total) * least) & (F.col("n") * 10000 <= F.lit(total) * most))
+    return np.sort(terms.select("h").toArrow()["h"].to_numpy().astype(np.int64))
 
 
-def terms(text: Column, bitmap: Column) -> Column:
-    """Sorted hashes of the terms of a text in the lexicon; a text without any is its own only term."""
+def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> Column:
+    """The bitmap of the places of the terms in the band."""
+    return _bitmap(band(docs, text, least, most) & ((1 << BITS) - 1))
+
+
+def _slot(h: int, which: int, mask: int) -> int:
+    return (h >> 32 * which) & mask
+
+
+def exact(hashes: np.ndarray) -> np.ndarray:
+    """A table of 2 ** n longs that has each hash in one of its two slots (cuckoo hashing), and in
+    every other slot a number that does not belong there."""
+    size = 1 << max(1, (3 * len(hashes)).bit_length())
+    while True:
+        held: list[int | None] = [None] * size
+        for x in hashes.tolist():
+            which = 0
+            for _ in range(500):
+                at = _slot(x, which, size - 1)
+                x, held[at] = held[at], x
+                if x is None:
+                    break
+                which = int(_slot(x, 0, size - 1) == at)
+            else:
+                break  # a cycle: a larger table
+        else:
+            return np.array([(0 if k else -1) if x is None else x for k, x in enumerate(held)], np.int64)
+        size *= 2
+
+
+def terms(text: Column, bitmap: Column, table: np.ndarray | None = None) -> Column:
+    """Sorted hashes of the terms of a text in the lexicon; a text without any is its own only term.
+    With an exact table, terms that only share a place with one of the lexicon are none of it."""
+    if table is not None:
+        held, mask = _constant(table), F.lit(len(table) - 1)
 
     def inside(h: Column) -> Column:
-        p = _place(h)
-        cell = F.get(bitmap, F.shiftright(p, 6).cast("int"))
-        return F.call_function("shiftrightunsigned", cell, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        near = _in_bitmap(h, bitmap)
+        if table is None:
+            return near
+        at = [F.get(held, x.bitwiseAND(mask).cast("int")) for x in (h, F.shiftright(h, 32))]
+        return near & ((at[0] == h) | (at[1] == h))
 
     found = F.array_sort(F.filter(words(text), inside))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(text, F.lit("whole"))))
@@ -67,16 +121,15 @@ def terms(text: Column, bitmap: Column) -> Column:
 def slots(found: Column) -> Column:
     """Hash of all sorted terms, then of those in each subset."""
 
-    def hashed(bits: int) -> Column:
-        return F.hash(F.filter(found, lambda h: h.bitwiseAND(F.lit(bits)) == 0))
+    def hashed(k: int) -> Column:
+        return F.hash(F.filter(found, lambda h: F.xxhash64(h, F.lit(k)).bitwiseAND(F.lit((1 << RATES[k // EACH]) - 1)) == 0))
 
-    tests = [((1 << rate) - 1) << (FIRST + FIELD * k) for rate in RATES for k in range(EACH)]
-    return F.array(F.hash(found), *[hashed(t - (1 << 64) if t >> 63 else t) for t in tests])
+    return F.array(F.hash(found), *[hashed(k) for k in range(len(RATES) * EACH)])
 
 
-def fingerprint(rows: DataFrame, text: str, bitmap: Column, name: str) -> DataFrame:
+def fingerprint(rows: DataFrame, text: str, bitmap: Column, name: str, table: np.ndarray | None = None) -> DataFrame:
     """rows with the array of slot hashes of a text column (null as empty) as column ``name``."""
-    found = terms(F.coalesce(F.col(text), F.lit("")), bitmap)
+    found = terms(F.coalesce(F.col(text), F.lit("")), bitmap, table)
     return rows.withColumn("__terms", found).withColumn(name, slots(F.col("__terms"))).drop("__terms")
 
 
@@ -113,19 +166,20 @@ def query(docs: DataFrame) -> DataFrame:
     last. Rows of one id are all followed by the next id, whose shortest text, and of these the
     least, stands for it; a table of one id follows itself. Other columns are never read.
     """
-    bitmap = lexicon(docs)
+    found = band(docs)
+    bitmap, table = _bitmap(found & ((1 << BITS) - 1)), exact(found)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_KEY)).alias("k"), F.coalesce("text", F.lit("")).alias("original"))
     pairs = materialize(followers(rows, "k", F.length("original")))
     size = F.length("original")
     # fingerprints come before the only shuffle of texts; what follows moves them with the beginnings
-    source = fingerprint(rows, "original", bitmap, "own")
+    source = fingerprint(rows, "original", bitmap, "own", table)
     begins = source.join(pairs.select(F.col("next_key").alias("k"), F.col("k").alias("of"), "most"), "k")
     begins = begins.select("of", size.alias("size"), F.left("original", F.floor(F.col("most") / 2).cast("int")).alias("head"), F.col("own").alias("next"))
     least = F.row_number().over(Window.partitionBy("of").orderBy("size", "head", "next"))
     begins = begins.withColumn("n", least).where("n = 1").select(F.col("of").alias("k"), "head", "next")
     half = F.floor(size / 2).cast("int")
     both = source.join(begins, "k").withColumn("edited", F.concat(F.left("original", size - half), F.left("head", half)))
-    out = fingerprint(both, "edited", bitmap, "other")
+    out = fingerprint(both, "edited", bitmap, "other", table)
     return out.select(
         F.nullif("k", F.lit(_LEAST_KEY)).alias("doc_id"),
         size.cast("long").alias("n_chars"),
