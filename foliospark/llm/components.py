@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(state) == seen or not state["n"]:
             break
         seen = tuple(state)
-        edges = materialize(_stars(materialize(_stars(edges, True)), False))
+        edges = materialize(_stars(_stars(edges, True), False))
     else:
         raise RuntimeError(f"no fixpoint within {rounds} rounds")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,15 +5,22 @@ The key of table (i, j) joins tuple i of the first with tuple j of the second, s
 tables of 2 * half values come from 2 * side * half minhashes. Two sets of Jaccard similarity s
 meet in some table with probability (1 - (1 - s**half)**side)**2.
 
-Documents of equal sets are one class and only its representative is hashed into tables.
-Representatives that meet somebody are compared in units: the groups that share tuple i of the
-first collection, cut into blocks where large. A unit checks, on the full sets, each of its
-pairs that share a table there and met in no earlier group, and returns a spanning forest of
-the links, so neither pairs nor links of a large group are ever listed.
+Documents of equal sets, by a 128-bit cryptographic digest of the full sorted set, are one class
+and only its representative is hashed into tables. Representatives that meet somebody are
+compared in units: the groups that share tuple i of the first collection. A unit checks, on the
+full sets, each of its pairs that share a table there and met in no earlier group, and returns a
+spanning forest of the links, so neither pairs nor links of a large group are ever listed.
+
+A large group is cut into blocks. Each block holds its members and the group's hubs, a few
+members that go to all blocks, so what is linked to a hub is one tree at once. Only members that are
+then outside the group's largest tree meet the other blocks. So sets are copied as often as there
+are hubs and members left, not as there are blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +34,12 @@ from foliospark.llm.common import LOWER, map_texts, materialize, without
 from foliospark.llm.components import connected_components
 
 HALF = 3
-SIDE = 12
-#: Limits of one block of a unit: documents and shingles. Larger groups become pairs of blocks.
+#: A pair at the threshold itself is missed with this chance at most.
+MISSED = 3e-5
+#: Limits of one block of a unit: documents and shingles; and members that meet every block of a group.
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1 << 21
+HUBS = 4
 #: Ids up to this many (12 MB) are broadcast to pick out documents; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -38,6 +47,11 @@ _U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
 
 
+def sides(percent: int, half: int = HALF) -> int:
+    """Tuples a collection, so that a pair of this similarity meets in some table but for MISSED."""
+    return math.ceil(math.log(MISSED / 2) / math.log1p(-((percent / 100) ** half))) if percent < 100 else 1
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -93,10 +107,8 @@ def _kernel(k: int, half: int, side: int, with_sets: bool):
         columns = [_lists(list(tuples[:, :side])), _lists(list(tuples[:, side:]))]
         if with_sets:
             return [*columns, _lists(sets)]
-        with np.errstate(over="ignore"):
-            one = [int(s.sum()) if len(s) else 0 for s in sets]
-            two = [int(np.bitwise_xor.reduce((s.view(_U) * _PLACE[1]).view(np.int64))) if len(s) else 0 for s in sets]
-        return [[len(s) for s in sets], one, two, *columns]
+        digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+        return [[len(s) for s in sets], digests[:, 0], digests[:, 1], *columns]
 
     return run
 
@@ -118,22 +130,25 @@ class _Forest:
             self.links.append((x, y))
 
 
-def _unit_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, group: int, block: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
+def _unit_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, group: int, xs: np.ndarray, able_with: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links of one unit that join two of its trees: of rows xs with all later rows, or where given with
+    the rows that able_with says."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     parts = np.split(flat, np.cumsum(sizes)[:-1])
     marked = np.zeros(int(flat.max()) + 1, bool)
     forest = _Forest(n)
-    for x in range(n - 1):
-        later = slice(x + 1, n)
-        able = (b[later] == b[x]).any(1) & (np.minimum(sizes[later], sizes[x]) * 100 >= np.maximum(sizes[later], sizes[x]) * percent)
-        able &= forest.label[later] != forest.label[x]
+    for x in xs:
+        start = 0 if able_with is not None else x + 1
+        ys = np.arange(start, n)
+        able = (b[ys] == b[x]).any(1) & (np.minimum(sizes[ys], sizes[x]) * 100 >= np.maximum(sizes[ys], sizes[x]) * percent)
+        able &= forest.label[ys] != forest.label[x]
         if group:
-            able &= ~(a[later, :group] == a[x, :group]).any(1)
-        if cross:
-            able &= block[later] != block[x]
-        ys = np.flatnonzero(able) + x + 1
+            able &= ~(a[ys, :group] == a[x, :group]).any(1)
+        if able_with is not None:
+            able &= able_with[x]
+        ys = ys[able]
         if not len(ys):
             continue
         marked[parts[x]] = True
@@ -144,25 +159,42 @@ def _unit_links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, group: int
     return forest.links
 
 
+_UNIT = ["g", "block", "rest"]
+
+
 def _verify(percent: int):
-    """Rows sorted by unit to links; a unit may go over several batches."""
+    """Rows sorted by unit to links; a unit may go over several batches.
+
+    In a unit of the first pass (rest is -1) all pairs are compared. In one of the second, rows that
+    play x are compared with rows that play y and are of another tree; a pair that could be met twice
+    is met where the smaller id plays x.
+    """
+
+    def unit_of(batch: pa.RecordBatch, at: int) -> list:
+        return [batch.column(c)[at].as_py() for c in _UNIT]
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
         column = lambda c: t[c].combine_chunks()
         matrix = lambda c: column(c).flatten().to_numpy().reshape(t.num_rows, -1)
-        unit = np.stack([column(c).to_numpy() for c in ("g", "lo", "hi")])
+        unit = np.stack([column(c).to_numpy() for c in _UNIT])
         edge = np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(0)) + 1
         values, offsets = column("shingles").flatten().to_numpy(), column("shingles").offsets.to_numpy()
         offsets = offsets - offsets[0]
-        ids, a, b, group, block = column("rep").to_numpy(), matrix("a"), matrix("b"), column("i").to_numpy(), column("block").to_numpy()
+        ids, a, b, group, tree, role = column("rep").to_numpy(), matrix("a"), matrix("b"), column("i").to_numpy(), column("tree").to_numpy(), column("role").to_numpy()
         u, v = [], []
         for lo, hi in zip([0, *edge], [*edge, t.num_rows], strict=True):
-            if hi - lo > 1:
-                sets = [values[offsets[k] : offsets[k + 1]] for k in range(lo, hi)]
-                for x, y in _unit_links(sets, a[lo:hi], b[lo:hi], int(group[lo]), block[lo:hi], bool(unit[1, lo] != unit[2, lo]), percent):
-                    u.append(ids[lo + x])
-                    v.append(ids[lo + y])
+            if hi - lo < 2:
+                continue
+            xs, able = np.arange(hi - lo), None
+            if unit[2, lo] >= 0:
+                r, k, i = role[lo:hi], tree[lo:hi], ids[lo:hi]
+                xs = np.flatnonzero(r & 1)
+                able = {x: ((r & 2) > 0) & (k != k[x]) & (((r & 4) == 0) | (i > i[x])) for x in xs}
+            sets = [values[offsets[k] : offsets[k + 1]] for k in range(lo, hi)]
+            for x, y in _unit_links(sets, a[lo:hi], b[lo:hi], int(group[lo]), xs, able, percent):
+                u.append(ids[lo + x])
+                v.append(ids[lo + y])
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +202,14 @@ def _verify(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in ("g", "lo", "hi")]
+            last = unit_of(batch, batch.num_rows - 1)
             whole = batch.num_rows
-            while whole and [batch.column(c)[whole - 1].as_py() for c in ("g", "lo", "hi")] == last:
+            while whole and unit_of(batch, whole - 1) == last:
                 whole -= 1
             if whole:
                 yield flush([*held, batch.slice(0, whole)])
                 held = []
-            elif held and [held[-1].column(c)[0].as_py() for c in ("g", "lo", "hi")] != last:
+            elif held and unit_of(held[-1], 0) != last:
                 yield flush(held)
                 held = []
             held.append(batch.slice(whole))
@@ -187,38 +219,86 @@ def _verify(percent: int):
     return run
 
 
-def links(docs: DataFrame, signed: DataFrame, key: str, text: str, k: int, percent: int, half: int, side: int) -> DataFrame:
-    """A spanning forest (u, v) of the links between representatives of different sets."""
-    classes = signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull()).groupBy("n_shingles", "one", "two").agg(F.min("id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"))
-    reps = materialize(classes.select("rep", "n_shingles", "a", "b"))
+def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of units: rows (rep, g, i, block, rest, tree, role), with their sets."""
+    rows = rows.join(sets, "rep").repartition("g", "block", "rest").sortWithinPartitions("g", "block", "rest", "rep")
+    return materialize(rows.select("rep", "g", "i", "block", "rest", "tree", "role", "a", "b", "shingles").mapInArrow(_verify(percent), "u long, v long"))
+
 
-    # tuples of the first collection that at least two representatives share
+def _members(reps: DataFrame) -> DataFrame:
+    """(rep, n_shingles, i, g): the groups g, of tuple i of the first collection, in which a representative
+    shares a table with another."""
     first = reps.select("rep", F.posexplode("a").alias("i", "tuple")).select("rep", "i", F.xxhash64("i", "tuple").alias("g"))
     shared = first.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    met = materialize(first.join(shared, "g", "left_semi"))
-
+    met = first.join(shared, "g", "left_semi")
     # keys of the tables, for these only: tuple i of the first collection with tuple j of the second
-    table = met.join(reps.select("rep", "n_shingles", "b"), "rep").select("rep", "n_shingles", "i", "g", F.posexplode("b").alias("j", "other")).select("rep", "n_shingles", "i", "g", F.xxhash64("g", "j", "other").alias("t"))
+    table = materialize(met.join(reps.select("rep", "n_shingles", "b"), "rep").select("rep", "n_shingles", "i", "g", F.posexplode("b").alias("j", "other")).select("rep", "n_shingles", "i", "g", F.xxhash64("g", "j", "other").alias("t")))
     full = table.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
-    member = materialize(table.join(full, "t", "left_semi").select("rep", "n_shingles", "i", "g").distinct())
-
-    # groups with the same members are one; the first keeps the pairs that no earlier group has
-    groups = member.groupBy("g").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2"))
-    units = groups.groupBy("n", "h1", "h2").agg(F.min_by(F.struct("g", "i", "total"), F.struct("i", "g")).alias("x")).select("x.g", "x.i", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("x.total") / BLOCK_SHINGLES)).alias("blocks"))
-    dealt = member.select("g", "rep").join(units, "g").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "g", "i", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-
-    active = materialize(member.select(F.col("rep").alias("__id")).distinct())
+    return materialize(table.join(full, "t", "left_semi").select("rep", "n_shingles", "i", "g").distinct())
+
+
+def _units(member: DataFrame) -> DataFrame:
+    """(g, i, blocks, hub0, ...): groups of the same members are one, the first, which keeps the pairs that
+    no earlier group has. A hub is the member of least seeded hash."""
+    hubs = [f"hub{s}" for s in range(HUBS)]
+    least = [F.min(F.xxhash64(F.lit(s), "rep")).alias(h) for s, h in enumerate(hubs)]
+    groups = member.groupBy("g").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("h2"), *least)
+    groups = groups.groupBy("n", "h1", "h2").agg(F.min(F.struct("i", "g", "total", *hubs)).alias("x")).select("n", "x.*")
+    return groups.select("g", "i", _blocks("n", "total").alias("blocks"), *hubs)
+
+
+def _blocks(n: str, shingles: str) -> F.Column:
+    return F.greatest(F.ceil(F.col(n) / BLOCK_DOCS), F.ceil(F.col(shingles) / BLOCK_SHINGLES))
+
+
+def _each_of(n: F.Column) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _first_pass(dealt: DataFrame) -> DataFrame:
+    """Each member in its block, and the hubs of a cut group in all of its blocks."""
+    hub = F.lit(False)
+    for s in range(HUBS):
+        hub = hub | (F.xxhash64(F.lit(s), F.col("rep")) == F.col(f"hub{s}"))
+    every = dealt.where((F.col("blocks") > 1) & hub).withColumn("block", _each_of(F.col("blocks")))
+    rows = dealt.where((F.col("blocks") == 1) | ~hub).unionAll(every)
+    return rows.select("rep", "g", "i", "block", F.lit(-1).cast("long").alias("rest"), F.lit(0).cast("long").alias("tree"), F.lit(0).alias("role"))
+
+
+def _second_pass(cut: DataFrame, found: DataFrame) -> DataFrame:
+    """Of groups cut into blocks the members that the first pass left outside the group's largest tree, each
+    with all members, where not of its own tree. Where the first pass joined all, no row."""
+    trees = connected_components(found).select(F.col("node").alias("rep"), F.col("component").alias("tree"))
+    rows = cut.join(trees, "rep", "left").withColumn("tree", F.coalesce("tree", "rep"))
+    sizes = rows.groupBy("g", "tree").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+    main = sizes.groupBy("g").agg(F.max(F.struct("n", "total", "tree")).alias("main"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    main = main.select("g", F.col("main.tree").alias("main"), (F.col("n") - F.col("main.n")).alias("left"), (F.col("total") - F.col("main.total")).alias("size"))
+    main = main.where("left > 0").select("g", "main", _blocks("left", "size").alias("rests"))
+    rows = rows.join(main, "g").withColumn("over", F.col("tree") != F.col("main"))
+    y = rows.withColumn("rest", _each_of(F.col("rests"))).withColumn("role", F.when(F.col("over"), 6).otherwise(2))
+    x = rows.where("over").withColumn("block", _each_of(F.col("blocks"))).withColumn("rest", F.pmod(F.xxhash64(F.lit(-1), "rep"), F.col("rests"))).withColumn("role", F.lit(1))
+    names = ["rep", "g", "i", "block", "rest", "tree", "role"]
+    return y.select(names).unionAll(x.select(names))
+
+
+def links(docs: DataFrame, reps: DataFrame, key: str, text: str, k: int, percent: int, half: int, side: int, repeated: bool) -> DataFrame:
+    """A spanning forest (u, v) of the links between representatives (rep, n_shingles, a, b) of different sets."""
+    member = _members(reps)
+    dealt = member.join(_units(member), ["g", "i"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    active = member.select(F.col("rep").alias("__id")).distinct()
     wanted = F.broadcast(active) if active.count() <= BROADCAST_IDS else active
-    texts = docs.select(F.col(key).alias("rep"), F.col(text).alias("__text")).join(wanted, F.col("rep") == F.col("__id"), "left_semi")
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("__text")).join(wanted, F.col("rep") == F.col("__id"), "left_semi")
     added = T.StructType([T.StructField("a", _LONGS), T.StructField("b", _LONGS), T.StructField("shingles", _LONGS)])
-    sets = materialize(map_texts(texts, "__text", ["rep"], added, _kernel(k, half, side, True)))
-    rows = dealt.join(sets, "rep").repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "rep")
-    return materialize(rows.select("rep", "g", "i", "block", "lo", "hi", "a", "b", "shingles").mapInArrow(_verify(percent), "u long, v long"))
+    sets = materialize(map_texts(texts.distinct() if repeated else texts, "__text", ["rep"], added, _kernel(k, half, side, True)))
+    found = _compared(_first_pass(dealt), sets, percent)
+    cut = dealt.where("blocks > 1")
+    if cut.isEmpty():
+        return found
+    rest = materialize(_second_pass(cut, found))
+    return found if rest.isEmpty() else found.unionAll(_compared(rest, sets, percent))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, half: int = HALF, side: int = SIDE) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, half: int = HALF, side: int | None = None) -> DataFrame:
     """One row a row of docs: its key, n_shingles, component_id and kept.
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their distinct k-word
@@ -226,17 +306,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     smallest key reachable over links. kept marks the document that has this key. Null, empty and
     wordless texts have no shingles and no links. Rows of one key are one document, linked by each
     of their texts. A null key is never linked: its component is null and it is kept. Other columns
-    are ignored. Keys are integers.
+    are ignored. Keys are integers. ``side`` follows from ``percent`` unless given.
     """
+    side = side or sides(percent, half)
     added = T.StructType([T.StructField(c, T.LongType()) for c in ("n_shingles", "one", "two")] + [T.StructField(c, _LONGS) for c in ("a", "b")])
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
     signed = materialize(map_texts(source, "__text", ["id"], added, _kernel(k, half, side, False)))
-    copies = signed.where(F.col("n_shingles") > 0).groupBy("n_shingles", "one", "two").agg(F.min("id").alias("rep"))
-    same = signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull()).join(copies, ["n_shingles", "one", "two"]).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    found = links(docs, signed, key, text, k, percent, half, side)
-    groups = connected_components(same.unionAll(found))
-    out = signed.select("id", "n_shingles").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    out = out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    able = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    ids = signed.where(able).select("id", "one", "two")
+    copies = materialize(ids.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    classed = signed.join(copies, ["one", "two"], "left")
+    columns = [F.col("id").alias("rep"), "n_shingles", "a", "b"]
+    reps = classed.where(able & F.col("rep").isNull()).select(columns).unionAll(classed.where(able & (F.col("rep") == F.col("id"))).dropDuplicates(["one", "two"]).select(columns))
+    # rows of one key link the classes of their texts
+    repeated = materialize(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id")))
+    again = not repeated.isEmpty()
+    found = links(docs, reps, key, text, k, percent, half, side, again)
+    if again:
+        found = found.unionAll(classed.where(able & F.col("rep").isNotNull()).join(repeated, F.col("id") == F.col("__id"), "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")))
+    groups = connected_components(found).select(F.col("node").alias("__node"), "component")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
+    first = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
+    out = classed.select("id", "n_shingles", first.alias("first")).join(groups, F.col("first") == F.col("__node"), "left")
+    kind = docs.schema[key].dataType
+    out = out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "first")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from foliospark.llm import minhash
 from foliospark.llm.components import connected_components
 
@@ -55,10 +57,18 @@ def test_groups_match_brute_force(spark):
         assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 
 
-def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_DOCS", 8)
+@pytest.mark.parametrize("hubs", [1, 4])
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch, hubs):
+    """Groups of over three blocks, some of whose members no hub links: a chain of small steps."""
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 4)
+    monkeypatch.setattr(minhash, "HUBS", hubs)
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     rows = corpus()
+    chain = [f"c{k}" for k in range(200)]
+    for step in range(24):
+        rows.append((3000 + step * 37 % 24, " ".join(chain)))
+        for k in range(4):
+            chain[(step * 8 + k) % 200] = f"new{step}x{k}"
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], SCHEMA)
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k=3, percent=85).collect()} == brute(rows, 3, 85)[0]
 
