@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_WORKSPACE = "/tmp/checkpoints/foliospark"
+
+@functools.cache
+def _own() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='foliospark-')}"
 
 
 def workspace(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or a default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_WORKSPACE
+    """The folder named in spark.checkpoint.dir.
+
+    Where it is unset sessions in one process get a folder of their own. On a cluster there is no folder
+    that all share without being named, so that raises.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the workspace: its plan is cut, and its rows outlive lost executors."""
+    """df as a Parquet table in the workspace: its plan is cut, and its rows outlive lost executors.
+
+    Tables stay until the folder is cleared: a later job may still read them.
+    """
     spark = df.sparkSession
-    path = f"{workspace(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
