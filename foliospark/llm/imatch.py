@@ -8,7 +8,10 @@ falling rates, so that documents of any length have subsets that catch one or tw
 Documents are first counted by place, the low BITS bits of a term's 64-bit hash. A place has at
 least the count of each of its terms, so only terms in places with enough are counted exactly, by
 their hashes. A document's mean number of distinct terms over LEAST bounds the terms in the band at
-any corpus size; membership is exact, in a table of two possible slots a term that goes with the plan.
+any corpus size. Three bitmaps of places let the band's terms through, and in 10,000 of the others about
+one where a tenth of the places are taken; those of the corpus are listed beside and are left out. So membership
+is exact for every term of the corpus, with a plan of fixed size. A word that an edit cuts in two and that
+no document has is no term of the corpus; it passes as rarely.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from foliospark.llm.common import materialize
 
 #: Bounds of a term's share of documents, in 1 / 10000.
 LEAST, MOST = 20, 2000
-BITS = 19
-#: Subsets of each rate 1/4, 1/8, ... 1/512; each tests bits of its own seeded hash of a term.
-RATES, EACH = range(2, 10), 6
+BITS, PLACES = 19, 3
+#: Subsets of each rate 1/4, 1/8, ... 1/512. A rate has its own seeded hash of a term, and each of its
+#: subsets WIDTH bits of that.
+RATES, EACH, WIDTH = range(2, 10), 6, 10
 #: Spark's hash of an array without elements is its seed.
 _EMPTY = 42
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -35,8 +39,9 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(F.lower(text), _BLANK, -1), lambda w: F.xxhash64(w)))
 
 
-def _place(h: Column) -> Column:
-    return h.bitwiseAND(F.lit((1 << BITS) - 1))
+def _place(h: Column, which: int = 0) -> Column:
+    """One of PLACES disjoint ranges of BITS bits of a hash."""
+    return F.shiftright(h, 20 * which).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
 def _constant(values: np.ndarray) -> Column:
@@ -51,14 +56,32 @@ def _bitmap(places: np.ndarray) -> Column:
     return _constant(bitmap)
 
 
-def _in_bitmap(h: Column, bitmap: Column) -> Column:
-    p = _place(h)
+def _in_bitmap(h: Column, bitmap: Column, which: int = 0) -> Column:
+    p = _place(h, which)
     cell = F.get(bitmap, F.shiftright(p, 6).cast("int"))
     return F.call_function("shiftrightunsigned", cell, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def band(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> np.ndarray:
-    """The hashes of the terms in the band, by exact counts over all documents; a null text counts
+class Lexicon:
+    """The terms of the band as a constant of fixed size: bitmaps of their places, and the few terms of the
+    corpus outside the band that all bitmaps let through."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.outside = hashes, np.empty(0, np.int64)
+        self.bitmaps = [_bitmap((hashes >> (20 * k)) & ((1 << BITS) - 1)) for k in range(PLACES)]
+
+    def near(self, h: Column) -> Column:
+        out = F.lit(True)
+        for k, bitmap in enumerate(self.bitmaps):
+            out = out & _in_bitmap(h, bitmap, k)
+        return out
+
+    def holds(self, h: Column) -> Column:
+        return self.near(h) & ~F.array_contains(_constant(self.outside), h) if len(self.outside) else self.near(h)
+
+
+def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> Lexicon:
+    """The lexicon of the terms in the band, by exact counts over all documents; a null text counts
     as one without terms."""
     total, empty = docs.count(), F.xxhash64(F.lit(""))
     found = F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda h: h != empty)
@@ -67,69 +90,35 @@ def band(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MO
     often = n.where(F.col("n") * 10000 >= F.lit(total) * least).select("place").toArrow()["place"].to_numpy().astype(np.int64)
     some = _bitmap(often)
     terms = docs.select(F.explode(F.filter(found, lambda h: _in_bitmap(h, some))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    terms = terms.where((F.col("n") * 10000 >= F.lit(total) * least) & (F.col("n") * 10000 <= F.lit(total) * most))
-    return np.sort(terms.select("h").toArrow()["h"].to_numpy().astype(np.int64))
-
-
-def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int = MOST) -> Column:
-    """The bitmap of the places of the terms in the band."""
-    return _bitmap(band(docs, text, least, most) & ((1 << BITS) - 1))
-
+    terms = materialize(terms)
+    inside = (F.col("n") * 10000 >= F.lit(total) * least) & (F.col("n") * 10000 <= F.lit(total) * most)
+    out = Lexicon(np.sort(terms.where(inside).select("h").toArrow()["h"].to_numpy().astype(np.int64)))
+    # every term that passes the first bitmap is among the terms counted
+    out.outside = np.sort(terms.where(~inside & out.near(F.col("h"))).select("h").toArrow()["h"].to_numpy().astype(np.int64))
+    return out
 
-def _slot(h: int, which: int, mask: int) -> int:
-    return (h >> 32 * which) & mask
 
-
-def exact(hashes: np.ndarray) -> np.ndarray:
-    """A table of 2 ** n longs that has each hash in one of its two slots (cuckoo hashing), and in
-    every other slot a number that does not belong there."""
-    size = 1 << max(1, (3 * len(hashes)).bit_length())
-    while True:
-        held: list[int | None] = [None] * size
-        for x in hashes.tolist():
-            which = 0
-            for _ in range(500):
-                at = _slot(x, which, size - 1)
-                x, held[at] = held[at], x
-                if x is None:
-                    break
-                which = int(_slot(x, 0, size - 1) == at)
-            else:
-                break  # a cycle: a larger table
-        else:
-            return np.array([(0 if k else -1) if x is None else x for k, x in enumerate(held)], np.int64)
-        size *= 2
-
-
-def terms(text: Column, bitmap: Column, table: np.ndarray | None = None) -> Column:
-    """Sorted hashes of the terms of a text in the lexicon; a text without any is its own only term.
-    With an exact table, terms that only share a place with one of the lexicon are none of it."""
-    if table is not None:
-        held, mask = _constant(table), F.lit(len(table) - 1)
-
-    def inside(h: Column) -> Column:
-        near = _in_bitmap(h, bitmap)
-        if table is None:
-            return near
-        at = [F.get(held, x.bitwiseAND(mask).cast("int")) for x in (h, F.shiftright(h, 32))]
-        return near & ((at[0] == h) | (at[1] == h))
-
-    found = F.array_sort(F.filter(words(text), inside))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.xxhash64(text, F.lit("whole"))))
+def terms(text: Column, band: Lexicon) -> Column:
+    """Sorted hashes of the terms of a text in the lexicon; a text without any is its own only term."""
+    found = F.array_sort(F.filter(words(text), band.holds))
+    # bound to a variable, so that the text is gone through once
+    return F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.xxhash64(text, F.lit("whole")))))[0]
 
 
 def slots(found: Column) -> Column:
-    """Hash of all sorted terms, then of those in each subset."""
-
-    def hashed(k: int) -> Column:
-        return F.hash(F.filter(found, lambda h: F.xxhash64(h, F.lit(k)).bitwiseAND(F.lit((1 << RATES[k // EACH]) - 1)) == 0))
-
-    return F.array(F.hash(found), *[hashed(k) for k in range(len(RATES) * EACH)])
+    """Hash of all sorted terms, then of those in each subset: terms in their order, under the rate's hash."""
+    parts = [F.array(F.hash(found))]
+    for rate in RATES:
+        seeded = F.transform(found, lambda h: F.xxhash64(h, F.lit(rate)))  # noqa: B023
+        masks = [F.lit(((1 << rate) - 1) << (WIDTH * j)) for j in range(EACH)]
+        # bound to a variable, so that a rate is hashed once
+        parts.append(F.transform(F.array(seeded), lambda s: F.array(*[F.hash(F.filter(s, lambda x: x.bitwiseAND(m) == 0)) for m in masks]))[0])  # noqa: B023
+    return F.concat(*parts)
 
 
-def fingerprint(rows: DataFrame, text: str, bitmap: Column, name: str, table: np.ndarray | None = None) -> DataFrame:
+def fingerprint(rows: DataFrame, text: str, band: Lexicon, name: str) -> DataFrame:
     """rows with the array of slot hashes of a text column (null as empty) as column ``name``."""
-    found = terms(F.coalesce(F.col(text), F.lit("")), bitmap, table)
+    found = terms(F.coalesce(F.col(text), F.lit("")), band)
     return rows.withColumn("__terms", found).withColumn(name, slots(F.col("__terms"))).drop("__terms")
 
 
@@ -166,20 +155,19 @@ def query(docs: DataFrame) -> DataFrame:
     last. Rows of one id are all followed by the next id, whose shortest text, and of these the
     least, stands for it; a table of one id follows itself. Other columns are never read.
     """
-    found = band(docs)
-    bitmap, table = _bitmap(found & ((1 << BITS) - 1)), exact(found)
+    band = lexicon(docs)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_KEY)).alias("k"), F.coalesce("text", F.lit("")).alias("original"))
     pairs = materialize(followers(rows, "k", F.length("original")))
     size = F.length("original")
     # fingerprints come before the only shuffle of texts; what follows moves them with the beginnings
-    source = fingerprint(rows, "original", bitmap, "own", table)
+    source = fingerprint(rows, "original", band, "own")
     begins = source.join(pairs.select(F.col("next_key").alias("k"), F.col("k").alias("of"), "most"), "k")
     begins = begins.select("of", size.alias("size"), F.left("original", F.floor(F.col("most") / 2).cast("int")).alias("head"), F.col("own").alias("next"))
     least = F.row_number().over(Window.partitionBy("of").orderBy("size", "head", "next"))
     begins = begins.withColumn("n", least).where("n = 1").select(F.col("of").alias("k"), "head", "next")
     half = F.floor(size / 2).cast("int")
     both = source.join(begins, "k").withColumn("edited", F.concat(F.left("original", size - half), F.left("head", half)))
-    out = fingerprint(both, "edited", bitmap, "other", table)
+    out = fingerprint(both, "edited", band, "other")
     return out.select(
         F.nullif("k", F.lit(_LEAST_KEY)).alias("doc_id"),
         size.cast("long").alias("n_chars"),
