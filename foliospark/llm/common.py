@@ -6,7 +6,6 @@ Words are the maximal runs of bytes outside space and 0x09-0x0D, which is what
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from foliospark.sources.storage import written as materialize
+
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = r"[^\x20\x09-\x0D]+"
-DEFAULT_WORKSPACE = "/tmp/checkpoints/foliospark"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,22 +28,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def workspace(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_WORKSPACE
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df: write it as Parquet into the shared folder and read it back.
-
-    Unlike cached or locally checkpointed blocks the files outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{workspace(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, so that long texts fit a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -86,7 +70,10 @@ def map_texts(
     column. With ``setup`` it gets setup()'s value, made once in a task, as second argument.
     """
     carry = [c for c in carry if c.lower() not in {f.name.lower() for f in added}]
-    source = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias("__text"))
+    inner = "__text"
+    while inner in {c.lower() for c in carry}:
+        inner += "_"
+    source = df.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text}`").alias(inner))
     schema = T.StructType([*source.schema.fields[:-1], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

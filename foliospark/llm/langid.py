@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import fold, held_out, map_texts, utf8_list
-from foliospark.llm.sampling import of_documents, stratified_ids
+from foliospark.llm.sampling import HASH, drawn, first, one_a_key
 
 DIM = 1 << 13
 #: Labelled rows of each language at most that the weights are fitted on.
@@ -134,19 +134,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     named = docs.where(F.col(lang).isNotNull())
     df, total = document_frequencies(named, text)
     idf = np.log((1 + total) / (1 + df)) + 1
-    ids = stratified_ids(named, key, lang, per_language).withColumnRenamed(lang, "__lang")
+    sample = drawn(named.select(key, lang, text), key, per_language, lang)
     added = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
 
     def kernel(texts: list[bytes]) -> list:
         return list(zip(*(counts(x.decode("utf-8", "replace")) for x in texts), strict=True)) or [[], []]
 
-    sample = map_texts(of_documents(named.select(key, text), ids, key), text, [key, "__lang"], added, kernel).toArrow().to_pydict()
-    order = sorted(range(len(sample["__lang"])), key=lambda k: (sample[key][k], sample["__lang"][k]))
-    langs = sorted(set(sample["__lang"]))
+    sample = sample.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), HASH, F.col(text).alias("__text"))
+    got = first(map_texts(one_a_key(sample, "__text"), "__text", ["__key", "__lang", HASH], added, kernel).toArrow(), "__key", per_language, "__lang")
+    langs = sorted({r["__lang"] for r in got})
     if not langs:
         return Model([], idf, np.zeros((DIM, 0)), 1.0)
-    y = np.array([langs.index(sample["__lang"][k]) for k in order])
-    rows = [(at := np.array(sample["at"][k], np.int64), tfidf(at, np.array(sample["n"][k], np.int64), idf)) for k in order]
+    y = np.array([langs.index(r["__lang"]) for r in got])
+    rows = [(at := np.array(r["at"], np.int64), tfidf(at, np.array(r["n"], np.int64), idf)) for r in got]
     check = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~check) if check.any() else np.arange(len(rows))
     w = ftrl([rows[k] for k in train], y[train], len(langs))

@@ -2,21 +2,24 @@
 
 A small network is fitted on trusted positives and unlabelled texts under the non-negative
 unbiased risk: the positives' loss weighted by the class prior, plus the unlabelled texts' loss
-as negatives less the share that positives have in it, which is held at zero or above.
+as negatives less the share that positives have in it, which is held at zero or above. The class
+prior is estimated from positives and unlabelled texts; no negative label is ever read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import fold, held_out, map_texts
+from foliospark.llm.common import fold, held_out, map_texts, utf8_list
 from foliospark.llm.rules import _measure
-from foliospark.llm.sampling import of_documents, stratified_ids
+from foliospark.llm.sampling import HASH, drawn, first, one_a_key, texts_of
 
 #: Trusted positives and unlabelled texts at most that the network is fitted on.
 POSITIVES = 3000
@@ -72,12 +75,10 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     return plus + minus, -prior * sig(-positive) / n_p + g_p, g_u
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    both = np.concatenate([positive, unlabelled])
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(_N), np.ones(_N), [], prior)
-    mean, scale = both.mean(0), both.std(0) + 1e-6
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
+def train(p: np.ndarray, u: np.ndarray, prior: float, mean: np.ndarray, scale: np.ndarray) -> Model:
+    """A model from scaled features of positives and unlabelled rows."""
+    if not len(p) or not len(u):
+        return Model(mean, scale, [], prior)
     rng = np.random.default_rng(11)
     layers = [rng.normal(0, 1 / np.sqrt(_N), (_N, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(x) for x in layers], [np.zeros_like(x) for x in layers]
@@ -101,23 +102,74 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(mean, scale, layers, prior)
 
 
-def _matrix(docs: DataFrame, text: str, carry: list[str]) -> tuple[np.ndarray, dict]:
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled rows, from positives and unlabelled rows alone.
+
+    A logistic discriminator of the two is fitted on one half and ranks the other. The share cannot
+    be more than unlabelled over positive rows above any rank; the estimate is that ratio at the rank
+    where it, with its margin of error, is least (best bin estimation).
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        mine, other = [x[half::2] for x in (positive, unlabelled)], [x[1 - half :: 2] for x in (positive, unlabelled)]
+        x, y = np.c_[np.ones(sum(map(len, mine))), np.concatenate(mine)], np.r_[np.ones(len(mine[0])), np.zeros(len(mine[1]))]
+        w = np.zeros(x.shape[1])
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (p - y) + w)
+        p, u = (np.sort(r @ w[1:])[::-1] for r in other)
+        above_p = np.arange(1, len(p) + 1) / len(p)
+        above_u = np.searchsorted(-u, -p, side="right") / len(u)
+        margin = 1.01 * (np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p))))
+        k = int(np.argmin((above_u + margin) / above_p))
+        found.append(above_u[k] / above_p[k])
+    return float(np.clip(np.mean(found), 0.01, 0.99))
+
+
+def _matrix(rows: DataFrame, key: str, text: str, size: int) -> np.ndarray:
     added = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = map_texts(docs, text, carry, added, lambda texts: [[features(t) for t in texts]]).toArrow().to_pydict()
-    order = sorted(range(len(got["x"])), key=lambda k: (str(got[carry[0]][k]), got["x"][k]))
-    return np.array([got["x"][k] for k in order]).reshape(-1, _N), {c: [got[c][k] for k in order] for c in carry}
+    got = first(map_texts(rows, text, [key, HASH], added, lambda texts: [[features(t) for t in texts]]).toArrow(), key, size)
+    return np.array([r["x"] for r in got]).reshape(-1, _N)
+
+
+#: Features are summed as whole numbers of this fraction, so sums don't depend on their order.
+_UNIT = 2**-16
+
+
+def moments(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation of each feature over all rows of docs. _N rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, n = np.zeros(_N, np.int64), np.zeros(_N, np.int64), 0
+        for batch in batches:
+            for t in utf8_list(batch.column(0)):
+                x = features(t)
+                one += np.rint(x / _UNIT).astype(np.int64)
+                two += np.rint(x * x / _UNIT).astype(np.int64)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_N), pa.int32()), pa.array(one), pa.array(two), pa.array([n] * _N, pa.int64())], names=["at", "one", "two", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "at int, one long, two long, n long").groupBy("at").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in ("one", "two", "n")]).collect()
+    mean, square = np.zeros(_N), np.ones(_N)
+    for r in rows:
+        if r["n"]:
+            mean[r["at"]], square[r["at"]] = r["one"] * _UNIT / r["n"], r["two"] * _UNIT / r["n"]
+    return mean, np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-6
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model from training rows only. The prior is the share of positives among all labelled rows."""
-    share = labels.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double")).alias("p")).first()["p"]
-    prior = 0.5 if share is None else min(max(share, 0.01), 0.99)
-    rows = docs.select(key, text)
-    trusted = stratified_ids(labels.where(F.col(label) == 1), key, label, POSITIVES)
-    some = docs.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(UNLABELLED)
-    positive, _ = _matrix(of_documents(rows, trusted, key), text, [key])
-    unlabelled, _ = _matrix(of_documents(rows, some, key), text, [key])
-    return train(positive, unlabelled, prior)
+    """A model from training rows only. Of labels only those of trusted positives (1) are read; the prior
+    is estimated from them and the unlabelled texts. Means and scales are of all texts of docs."""
+    mean, scale = moments(docs, text)
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    trusted = drawn(labels.where(F.col(label) == 1).select(F.col(key).alias("__key"), F.col(label).alias("__one")), "__key", POSITIVES)
+    some = one_a_key(drawn(rows, "__key", UNLABELLED), "__text")
+    positive = _matrix(texts_of(rows, trusted, "__key", "__text", "__one"), "__key", "__text", POSITIVES)
+    unlabelled = _matrix(some, "__key", "__text", UNLABELLED)
+    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
+    return train(p, u, class_prior(p, u), mean, scale)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

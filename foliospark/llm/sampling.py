@@ -1,23 +1,64 @@
-"""Bounded samples of labelled rows, for models that are fitted on the driver."""
+"""Bounded samples of rows by the hash of their key, for models that are fitted on the driver.
+
+A class of n keys is cut at the hash that lets through the sample's size and a margin, so no
+class goes through one task: the cut is a filter, and what little passes is ordered on the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+HASH = "__hash"
+
+
+def _bound(n: int, size: int) -> int:
+    """The hash under which about ``size`` of n keys lie; more by six deviations and the count's error."""
+    share = min(1.0, 1.2 * (size + 6 * size**0.5) / max(n, 1))
+    return min(2**63 - 1, int(-(2**63) + share * 2**64))
 
-def stratified_ids(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
-    """(key, label) of at most ``per_class`` rows of each label, by the hash of the key.
 
-    Spark limits each group before its shuffle, so a hot label moves per_class rows a task at most.
-    Rows without key or label are left out.
+def drawn(rows: DataFrame, key: str, size: int, label: str | None = None) -> DataFrame:
+    """Rows with a key (and a label) whose key's hash, column HASH, is under the bound of their class.
+
+    Few more than ``size`` keys a class pass; ``first`` cuts to it. Repeated keys count once. The
+    number of classes must be small enough for the driver, as it is for the model's outputs.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    ranked = rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).withColumn("__n", F.row_number().over(order))
-    return ranked.where(F.col("__n") <= per_class).drop("__n")
+    rows = rows.where(F.col(key).isNotNull()).withColumn(HASH, F.xxhash64(key))
+    keys = F.approx_count_distinct(key, 0.03).alias("n")
+    if label is None:
+        return rows.where(F.col(HASH) <= F.lit(_bound(rows.agg(keys).first()["n"], size)))
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(keys).collect()
+    under: Column = F.lit(False)
+    for r in counts:
+        under = under | ((F.col(label) == F.lit(r[label])) & (F.col(HASH) <= F.lit(_bound(r["n"], size))))
+    return rows.where(under)
+
+
+def texts_of(docs: DataFrame, sample: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """(key, label, HASH, text) of the documents with a drawn key: one row a key and label, its least text.
+
+    A sample has few more keys than its size, which bounds the broadcast."""
+    ids = sample.select(F.col(key).alias("__key"), F.col(label).alias("__label"), HASH).distinct()
+    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(ids), F.col("__k") == F.col("__key"))
+    return one_a_key(rows.select(F.col("__key").alias(key), F.col("__label").alias(label), HASH, F.col("__t").alias(text)), text)
+
+
+def one_a_key(rows: DataFrame, text: str) -> DataFrame:
+    """Rows equal but for their text as one, of the least text; partial minima meet before any shuffle."""
+    others = [c for c in rows.columns if c != text]
+    return rows.groupBy(*[F.col(f"`{c}`") for c in others]).agg(F.min(F.col(f"`{text}`")).alias(text))
 
 
-def of_documents(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of docs with a sampled key. The sample's bound makes it fit a broadcast."""
-    ids = ids.withColumnRenamed(key, "__key")
-    return docs.join(F.broadcast(ids), docs[key] == ids["__key"]).drop("__key")
+def first(table: pa.Table, key: str, size: int, label: str | None = None) -> list[dict]:
+    """The rows of the ``size`` least hashes of each class, in the order of label and key."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r[HASH], str(r[key])))
+    n: dict = {}
+    kept = []
+    for r in rows:
+        k = r[label] if label else None
+        n[k] = n.get(k, 0) + 1
+        if n[k] <= size:
+            kept.append(r)
+    return sorted(kept, key=lambda r: (r[key], str(r[label]) if label else ""))

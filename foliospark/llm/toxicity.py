@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import LOWER, fold, held_out, map_texts
-from foliospark.llm.sampling import of_documents, stratified_ids
+from foliospark.llm.sampling import drawn, first, texts_of
 
 #: Labelled documents of each class at most that the field is fitted on.
 PER_CLASS = 1200
@@ -291,10 +291,10 @@ def _calibrate(s: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """A model from training rows only."""
     share = labels.where(F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double")).alias("p")).first()["p"]
-    ids = stratified_ids(labels.where(F.col(label).isin(0, 1)), key, label, per_class).withColumnRenamed(label, "__label")
-    rows = of_documents(docs.select(key, text), ids, key).where(F.col(text).isNotNull()).toArrow().to_pydict()
-    order = sorted(range(len(rows[key])), key=lambda k: (rows[key][k], rows[text][k]))
-    return train([rows[text][k].encode() for k in order], [rows["__label"][k] == 1 for k in order], 0.5 if share is None else share)
+    sample = drawn(labels.where(F.col(label).isin(0, 1)), key, per_class, label)
+    rows = texts_of(docs.where(F.col(text).isNotNull()), sample, key, text, label)
+    rows = first(rows.toArrow(), key, per_class, label)
+    return train([r[text].encode() for r in rows], [r[label] == 1 for r in rows], 0.5 if share is None else share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
