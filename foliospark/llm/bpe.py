@@ -2,15 +2,15 @@
 
 A text is cut by the tokenizer's pattern. The pieces a worker hasn't met yet become
 token-position rows; a recursive query joins neighbours with the merge table and contracts
-each piece's leftmost pair of least rank until no piece has a pair. Ordered aggregation gives
-the ids of a piece, and the bytes that these ids stand for.
+each piece's leftmost pair of least rank until no piece has a pair. Pieces of any length go
+through such a query. Ordered aggregation gives the ids of a piece, and the bytes that these ids
+stand for.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable
 
 import duckdb
@@ -28,9 +28,11 @@ QUERY_BYTES = 250_000
 #: A worker remembers the pieces of its last texts in two halves of this many; the older half is
 #: forgotten when the newer is full, except for what has been met again meanwhile.
 HALF_CACHE = 300_000
-#: Pieces of more bytes than this are contracted by a heap: a recursion writes all of a piece's
-#: rows at each step, which for a piece of n bytes is n * n rows.
+#: Pieces of more bytes than this go to a recursion that keeps one row a place and changes it in place;
+#: the plain one keeps the rows of all steps, which for a piece of n bytes are n * n. The keyed one reads all
+#: rows of a query at each step, so that it is slow on many short pieces. Both give the same tokens.
 LONG_PIECE = 400
+LONG_BYTES = 20_000
 _PLACES = 30
 
 #: Rows (step, w, p, t, x): token t of piece w at place p, and the place of the next token or -1.
@@ -53,6 +55,39 @@ WITH RECURSIVE seq(step, w, p, t, x) AS (
 )
 SELECT w, p, t FROM seq WHERE step < 0"""
 
+#: Rows (w, p) with token t, next place x, and k, the token of the pair that begins here. One step contracts
+#: all pairs of least rank in a piece, those that overlap from the left, unless the new token has a pair of
+#: lesser rank than its own (early): then only the leftmost, for that pair comes first.
+_ENCODE_LONG = """
+WITH RECURSIVE seq(w, p, t, x, k, early) USING KEY (w, p) AS (
+  SELECT a.w, a.p, a.t, a.x, m, early FROM start a LEFT JOIN start b ON a.x = b.p LEFT JOIN merges ON l = a.t AND r = b.t
+  UNION
+  (
+    WITH least AS (SELECT w, min(k) AS k FROM recurring.seq GROUP BY w HAVING min(k) IS NOT NULL),
+    hit AS (
+      SELECT s.w, s.p, s.x, s.k, s.early, CASE WHEN lag(s.x) OVER (ORDER BY s.p) IS DISTINCT FROM s.p THEN s.p END AS head
+      FROM recurring.seq s JOIN least ON s.w = least.w AND s.k = least.k
+    ), run AS (
+      SELECT *, last_value(head IGNORE NULLS) OVER (ORDER BY p) AS h FROM hit
+    ), chosen AS (
+      SELECT w, p, x AS gone, k FROM run
+      QUALIFY row_number() OVER (PARTITION BY h ORDER BY p) % 2 = 1 AND (NOT early OR row_number() OVER (PARTITION BY w ORDER BY p) = 1)
+    ), merged AS (
+      SELECT chosen.w, chosen.p, chosen.k AS t, g.x FROM chosen JOIN recurring.seq g ON g.p = chosen.gone
+    ), before AS (
+      SELECT s.w, s.p, s.t, s.x FROM recurring.seq s SEMI JOIN chosen ON s.x = chosen.p
+      WHERE s.t >= 0 AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.gone = s.p OR c.p = s.p)
+    ), touched AS (
+      SELECT * FROM merged UNION ALL SELECT * FROM before
+    ), ahead AS (
+      SELECT touched.*, coalesce(n.t, s.t) AS after FROM touched LEFT JOIN merged n ON n.p = touched.x LEFT JOIN recurring.seq s ON s.p = touched.x
+    )
+    SELECT w, p, ahead.t, x, m, early FROM ahead LEFT JOIN merges ON l = ahead.t AND r = after
+    UNION ALL SELECT w, gone, -1, -1, NULL, NULL FROM chosen
+  )
+)
+SELECT w, p, t FROM seq WHERE t >= 0"""
+
 _DECODE = """
 SELECT w, count(*) AS n, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids, string_agg(h, '' ORDER BY p) AS bytes
 FROM tokens JOIN vocabulary ON id = t GROUP BY w"""
@@ -72,6 +107,7 @@ class Codec:
         l, r, m = (pa.array(x, pa.int64()) for x in zip(*pairs, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._fill("merges", pa.table({"l": l, "r": r, "m": m}))
+        self.db.execute("CREATE OR REPLACE TEMP TABLE merges AS SELECT l, r, m, m IN (SELECT l FROM merges WHERE m < l UNION SELECT r FROM merges WHERE m < r) AS early FROM merges")
         self._fill("vocabulary", pa.table({"id": pa.array(self.ranks.values(), pa.int64()), "h": [t.hex() for t in self.ranks]}))
 
     def _fill(self, name: str, rows: pa.Table) -> None:
@@ -79,7 +115,7 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _contract(self, pieces: list[bytes]) -> pa.Table:
+    def _contract(self, pieces: list[bytes], query: str = _ENCODE) -> pa.Table:
         """Token-position rows (w, p, t) of the pieces at the fixpoint."""
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         lengths = np.array([len(x) for x in pieces])
@@ -89,48 +125,19 @@ class Codec:
         last = np.zeros(len(flat), bool)
         last[np.cumsum(lengths) - 1] = True
         self._fill("start", pa.table({"w": w, "p": p, "t": single[flat], "x": np.where(last, -1, p + 1)}))
-        return self.db.sql(_ENCODE).to_arrow_table()
-
-    def _contract_long(self, piece: bytes) -> list[int]:
-        """The same contraction of one long piece: pairs leave a heap by rank, then place."""
-        n = len(piece)
-        part: list[bytes | None] = [piece[k : k + 1] for k in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k, 2) for k in range(n - 1) if (r := self.ranks.get(piece[k : k + 2])) is not None]
-        heapq.heapify(heap)
-
-        def offer(k: int) -> None:
-            if k >= 0 and (j := after[k]) < n and (r := self.ranks.get(part[k] + part[j])) is not None:
-                heapq.heappush(heap, (r, k, len(part[k]) + len(part[j])))
-
-        while heap:
-            _, k, size = heapq.heappop(heap)
-            if part[k] is None or (j := after[k]) >= n or len(part[k]) + len(part[j]) != size:
-                continue
-            part[k] += part[j]
-            part[j] = None
-            after[k] = after[j]
-            if after[k] < n:
-                before[after[k]] = k
-            offer(before[k])
-            offer(k)
-        return [self.ranks[x] for x in part if x is not None]
+        return self.db.sql(query).to_arrow_table()
 
     def _remember(self, pieces: Iterable[str]) -> None:
         fresh = [(x, x.encode()) for x in pieces]
         fresh.sort(key=lambda x: len(x[1]))
         at = 0
         while at < len(fresh):
+            long = len(fresh[at][1]) > LONG_PIECE
             to, size = at, 0
-            while to < len(fresh) and len(fresh[to][1]) <= LONG_PIECE and (size == 0 or size + len(fresh[to][1]) <= QUERY_BYTES):
+            while to < len(fresh) and (len(fresh[to][1]) > LONG_PIECE) == long and (size == 0 or size + len(fresh[to][1]) <= (LONG_BYTES if long else QUERY_BYTES)):
                 size += len(fresh[to][1])
                 to += 1
-            if to > at:
-                rows = self._contract([b for _, b in fresh[at:to]])
-            else:
-                ids = self._contract_long(fresh[at][1])
-                to = at + 1
-                rows = pa.table({"w": pa.array([0] * len(ids), pa.int64()), "p": pa.array(range(len(ids)), pa.int64()), "t": pa.array(ids, pa.int64())})
+            rows = self._contract([b for _, b in fresh[at:to]], _ENCODE_LONG if long else _ENCODE)
             for w, n, ids, decoded in self._aggregate(rows):
                 self.known[fresh[at + w][0]] = (n, ids, decoded)
             at = to

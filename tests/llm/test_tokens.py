@@ -38,12 +38,17 @@ def test_bpe_matches_the_library(spark, library):
     assert bpe.query(docs.limit(0)).count() == 0
 
 
-def test_the_heap_and_the_recursion_agree(library, monkeypatch):
+@pytest.mark.parametrize("long", [0, 3, 400])
+def test_both_recursions_agree_with_the_library(library, monkeypatch, long):
     path, enc = library
     own = bpe.Codec(path, P.PATTERN)
-    monkeypatch.setattr(bpe, "LONG_PIECE", 3)
-    for t in ("internationalisation", "aaaaaaaaab", "ababababab", "ééééé"):
-        assert [int(x) for p in own.encode([t])[0] for x in p[1].split()] == enc.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "LONG_PIECE", long)
+    rng = random.Random(9)
+    texts = ["internationalisation", "aaaaaaaaab", "ababababab", "ééééé", "a" * 2000, "ab" * 700]
+    texts += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "日本語テスト") for n in (7, 450, 900)]
+    for t, x in zip(texts, own.encode(texts), strict=True):
+        assert [int(k) for p in x for k in p[1].split()] == enc.encode_ordinary(t)
+        assert b"".join(p[2] for p in x) == t.encode()
 
 
 def corpus():
@@ -78,10 +83,10 @@ def test_edited_texts_and_likeness(spark):
 def test_slots_hash_sorted_band_terms(spark):
     """A slot depends on the set of its terms in the band only: not on their order, number or case, nor on other terms."""
     docs = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(40) if (k >> (j % 5)) & 1 or j % 7 == k % 7)) for k in range(200)], "doc_id long, text string")
-    bitmap = imatch.lexicon(docs, least=100, most=9900)
-    assert sum(bin(x & (2**64 - 1)).count("1") for x in docs.limit(1).select(bitmap.alias("x")).first()["x"]) == 40
+    band = imatch.lexicon(docs, least=100, most=9900)
+    assert len(band.hashes) == 40
     pair = spark.createDataFrame([(1, "t1 t2 t3 t8", "T8 zzz t3 t2\nt1 t1"), (2, "t1 t2", "t1 t3")], "key long, x string, y string")
-    got = {r["key"]: r for r in imatch.fingerprint(imatch.fingerprint(pair, "x", bitmap, "a"), "y", bitmap, "b").collect()}
+    got = {r["key"]: r for r in imatch.fingerprint(imatch.fingerprint(pair, "x", band, "a"), "y", band, "b").collect()}
     assert got[1]["a"] == got[1]["b"] and got[2]["a"] != got[2]["b"]
 
 
