@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import materialize, without
 
-#: A line is boilerplate on more than this share of a host's pages, in percent, and on at least MIN_PAGES.
+#: A line is boilerplate on more than this share of a host's pages, in percent. It must repeat, which takes
+#: two pages: a host's only page is no evidence.
 RATIO_PERCENT = 5
-MIN_PAGES = 5
+MIN_PAGES = 2
 _BLANKS = " \t\x0b\x0c\r"
 ADDED = ["n_lines", "n_dropped"]
 
@@ -26,6 +27,11 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
+def host_of(url: str) -> Column:
+    """The host of a column of URLs in lower case; null where it has none."""
+    return F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
+
+
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row a host: ``host`` and the hashes of its boilerplate lines.
 
