@@ -46,27 +46,28 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return placed
 
 
-def pieces(docs: DataFrame, key: str, text: str, source: str, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, key: str, text: str, source: str, capacity: int, cluster: str | None = None) -> DataFrame:
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("cluster"), words.alias("total"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text), F.lit("")) if cluster is None else F.col(cluster)).alias("cluster"), words.alias("total"))
     count = F.greatest(F.lit(1), F.ceil(F.col("total") / capacity)).cast("int")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
     start = F.col("piece").cast("long") * capacity
     return rows.select("doc_id", "source", "cluster", "piece", start.alias("start_word"), F.least(F.col("total") - start, F.lit(capacity)).alias("n_words"))
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, cluster: str | None = None) -> DataFrame:
     """One row a piece: doc_id, piece, start_word, n_words, bin_id, bin_words.
 
     A text of more words than ``capacity`` is cut into full pieces and a rest; no word is lost.
     No bin holds more than ``capacity`` words, two pieces of one source, or two pieces of one
-    duplicate cluster (equal texts). Null and empty texts are one piece of no words, and equal
+    duplicate cluster: rows of one value of ``cluster``, such as component_id of
+    near-duplicates, or equal texts where no column is named. Null and empty texts are one piece of no words, and equal
     texts of each other; null sources count as one source. Repeated rows are packed one by one.
     Pieces are dealt by hash into shards of about SHARD and packed largest first within one,
     ties by id, piece and cluster; a hot source meets a bounded number of bins in each shard.
     Other columns of docs are ignored.
     """
-    rows = materialize(pieces(docs, key, text, source, capacity))
+    rows = materialize(pieces(docs, key, text, source, capacity, cluster))
     shards = max(1, -(-rows.count() // SHARD))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
 

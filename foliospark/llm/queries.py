@@ -35,10 +35,12 @@ QUERIES = {
     "op8_toxicity": _on_labelled(toxicity.query),
     "op9_best_fit_packing": _on_documents(packing.query),
     "op10_byte_bpe": _on_documents(bpe.query),
+    "rule_ablations": _on_documents(rules.ablation_query),
 }
 
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_minhash_near_dedup": minhash.ORACLE,
     "op3_quality_rules": rules.ORACLE,
+    "rule_ablations": rules.ABLATION_ORACLE,
 }

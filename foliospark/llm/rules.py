@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import WORD, map_texts
+from foliospark.llm.common import WORD, map_texts, materialize
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -125,3 +125,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        ({_BITS}) = 0 AS kept, n_lines, ({_BITS})::BIGINT AS fail_bits
 FROM m"""
+
+
+def ablation_query(docs: DataFrame) -> DataFrame:
+    """Ablations of the production policy, from a ledger that is written once and read again."""
+    return ablations(materialize(ledger(docs, carry=["doc_id"])))
+
+
+_MASK = POLICIES[POLICY]
+_NAMES = ", ".join(f"('{name}', {k})" for k, (name, _) in enumerate(RULES))
+ABLATION_ORACLE = f"""
+WITH l AS ({ORACLE}), r(rule, bit) AS (VALUES {_NAMES})
+SELECT rule, bit, count(*) FILTER (WHERE fail_bits >> bit & 1 = 1) AS failed,
+       count(*) FILTER (WHERE fail_bits & {_MASK} & ~(1 << bit) = 0) - count(*) FILTER (WHERE fail_bits & {_MASK} = 0) AS failed_alone,
+       count(*) FILTER (WHERE fail_bits & {_MASK} & ~(1 << bit) = 0) AS kept_without
+FROM r LEFT JOIN l ON true GROUP BY rule, bit"""

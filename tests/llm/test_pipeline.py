@@ -30,5 +30,5 @@ def test_stages_return_documents_and_run_ends_packed(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)

@@ -51,19 +51,50 @@ def test_rules_on_an_empty_table(spark):
 def test_line_dedup_drops_a_hosts_boilerplate_only(spark):
     rows = [(k, f"menu \nown line {k}\n\nmenu", "a") for k in range(20)]
     rows += [(100 + k, f"menu\nother {k}", "b") for k in range(4)]
+    rows += [(150, "menu\nonly page", "single")]
     rows += [(200, None, "a"), (201, "", "a"), (202, "menu", None), (203, "menu", "a"), (203, "menu", "a")]
     got = defaultdict(list)
     for r in line_dedup.drop_boilerplate(table(spark, rows).selectExpr("*", "9 AS n_dropped")).collect():
         got[r["doc_id"]].append(r)
     assert sum(map(len, got.values())) == len(rows)
     assert got[3][0]["text"] == "own line 3\n" and got[3][0]["n_dropped"] == 2 and got[3][0]["n_chars"] == 11
-    assert got[101][0]["text"] == "menu\nother 1"  # four pages are too few to tell
+    assert got[101][0]["text"] == "other 1"  # four pages of four
+    assert got[150][0]["text"] == "menu\nonly page"  # nothing repeats on one page
     assert got[200][0]["text"] is None and got[200][0]["n_lines"] == 0
     assert got[201][0]["text"] == "" and got[202][0]["text"] == "menu"
     assert [r["text"] for r in got[203]] == ["", ""]
     assert line_dedup.query(table(spark, [])).count() == 0
 
 
+def test_hosts_of_urls_and_very_long_pages(spark):
+    rows = [(k, f"https://User@Example.org:80/p{k}?q#f", "menu\n" + "\n".join(f"l{k} {j}" for j in range(3000))) for k in range(3)] + [(9, "no url", "menu"), (10, None, "menu")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", line_dedup.host_of("url"))
+    got = {r["page_id"]: r for r in line_dedup.drop_boilerplate(docs, "host", "html").collect()}
+    assert got[0]["host"] == "example.org" and got[9]["host"] is None
+    assert all(got[k]["n_lines"] == 3001 and got[k]["n_dropped"] == 1 and got[k]["html"].startswith("l") for k in range(3))
+    assert got[9]["html"] == got[10]["html"] == ""  # pages without a host are a host of their own
+
+
+def test_packing_over_several_shards_and_given_clusters(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 16)
+    rng = random.Random(8)
+    rows = [(k, " ".join(["w"] * rng.randrange(0, 40)) + f" {k}", rng.choice("abcdefgh")) for k in range(150)] + [(900, "w " * 200, "z")]
+    docs = table(spark, rows).selectExpr("*", "doc_id % 50 AS component_id", "1 AS bin_id", "'x' AS piece")
+    got = packing.pack(docs, capacity=32, cluster="component_id").collect()
+    assert len({r["bin_id"] >> 32 for r in got}) > 3
+    words, bins = Counter(), defaultdict(list)
+    for r in got:
+        words[r["doc_id"]] += r["n_words"]
+        bins[r["bin_id"]].append(r)
+    assert all(words[i] == len(t.split()) for i, t, _ in rows)
+    source = {i: s for i, _, s in rows}
+    for rs in bins.values():
+        assert sum(r["n_words"] for r in rs) == rs[0]["bin_words"] <= 32
+        assert len({source[r["doc_id"]] for r in rs}) == len({r["doc_id"] % 50 for r in rs}) == len(rs)
+    again = packing.pack(docs.repartition(7), capacity=32, cluster="component_id").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))  # the layout of the input changes nothing
+
+
 @pytest.mark.parametrize("capacity", [5, 64])
 def test_packing_keeps_every_word_and_no_conflict(spark, capacity):
     rng = random.Random(2)
