@@ -15,6 +15,7 @@ matrix products, once for each pair of context classes that a worker meets.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 import zlib
 from collections import Counter
@@ -30,16 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import LOWER, fold, held_out, materialize, small_batches, utf8_list
+from foliospark.llm.sampling import drawn, first, one_a_key
 
 #: Words that are classes of their own, and classes of the others.
 OWN, SHARED = 768, 256
 CLASSES = OWN + SHARED
 DIM, NOISE, BATCH = 24, 48, 4096
 #: Words whose counts every worker holds; rarer ones are looked up by a join.
-HEAD = 50_000
-#: Words a worker remembers before it starts anew, words it counts before it passes them on, and
-#: texts and contexts handled at once: they bound its memory.
-CACHE, COUNTED, TEXTS, CONTEXTS = 150_000, 100_000, 250, 512
+HEAD = 150_000
+#: Words a worker remembers before it starts anew, words it counts before it passes them on, texts of a
+#: batch, bytes of text and contexts handled at once, and rare words of finished texts held: they bound its
+#: memory, whatever the length of a text.
+CACHE, COUNTED, TEXTS, PORTION, CONTEXTS, RARE = 200_000, 300_000, 250, 1 << 20, 512, 100_000
 #: Documents that the driver starts the model on before the pass over all of them.
 START_DOCS = 400
 RATE = 0.04
@@ -84,6 +87,21 @@ def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def nce_gradients(p: Parameters, h: np.ndarray, w: np.ndarray, k: np.ndarray, lift: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradients by R, Q, b and C of the noise-contrastive loss of classes w in contexts h against noise
+    samples k, which all tokens share: -log sig(s_w - lift_w) - sum over k of log sig(lift_k - s_k)."""
+    r1, r2 = p.R[h[:, 0]], p.R[h[:, 1]]
+    q = p.C[0] * r1 + p.C[1] * r2
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    gp = sig((q * p.Q[w]).sum(1) + p.b[w] - lift[w]) - 1
+    gn = sig(q @ p.Q[k].T + p.b[k] - lift[k])
+    dq = gp[:, None] * p.Q[w] + gn @ p.Q[k]
+    dQ = _scatter(np.concatenate([w, k]), np.concatenate([gp[:, None] * q, gn.T @ q]), CLASSES)
+    db = np.bincount(np.concatenate([w, k]), weights=np.concatenate([gp, gn.sum(0)]), minlength=CLASSES).astype(p.b.dtype)
+    dR = _scatter(np.concatenate([h[:, 0], h[:, 1]]), np.concatenate([p.C[0] * dq, p.C[1] * dq]), CLASSES + 1)
+    return dR, dQ, db, np.stack([(r1 * dq).sum(0), (r2 * dq).sum(0)])
+
+
 class Trainer:
     """Noise-contrastive steps under AdaGrad. A batch of tokens shares its noise samples."""
 
@@ -94,19 +112,8 @@ class Trainer:
         self.lift = np.log(NOISE * noise).astype(np.float32)
 
     def step(self, h: np.ndarray, w: np.ndarray) -> None:
-        p = self.p
-        r1, r2 = p.R[h[:, 0]], p.R[h[:, 1]]
-        q = p.C[0] * r1 + p.C[1] * r2
         k = self.rng.choice(CLASSES, NOISE, p=self.noise)
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        gp = sig((q * p.Q[w]).sum(1) + p.b[w] - self.lift[w]) - 1
-        gn = sig(q @ p.Q[k].T + p.b[k] - self.lift[k])
-        dq = gp[:, None] * p.Q[w] + gn @ p.Q[k]
-        dQ = _scatter(np.concatenate([w, k]), np.concatenate([gp[:, None] * q, gn.T @ q]), CLASSES)
-        db = np.bincount(np.concatenate([w, k]), weights=np.concatenate([gp, gn.sum(0)]), minlength=CLASSES).astype(np.float32)
-        dR = _scatter(np.concatenate([h[:, 0], h[:, 1]]), np.concatenate([p.C[0] * dq, p.C[1] * dq]), CLASSES + 1)
-        dC = np.stack([(r1 * dq).sum(0), (r2 * dq).sum(0)])
-        for x, s, g in zip((p.R, p.Q, p.b, p.C), self.sums, (dR, dQ, db, dC), strict=True):
+        for x, s, g in zip((self.p.R, self.p.Q, self.p.b, self.p.C), self.sums, nce_gradients(self.p, h, w, k, self.lift), strict=True):
             g /= len(w) ** 0.5
             s += g * g
             x -= RATE * g / np.sqrt(s)
@@ -147,14 +154,74 @@ class _Facts(dict):
         return x
 
 
-def tokens(text: bytes) -> list[bytes]:
-    out = text.translate(LOWER).split()
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def tokens(text: bytes) -> Iterator[tuple[list[bytes], bool]]:
+    """The tokens of a text in parts of about PORTION bytes at most, and whether a part is the last, which
+    ends in the end. Only a single word may be longer."""
+    at = 0
+    while len(text) - at > PORTION:
+        cut = _BLANK.search(text, at + PORTION)
+        if not cut:
+            break
+        yield text[at : cut.start()].translate(LOWER).split(), False
+        at = cut.start()
+    out = (text[at:] if at else text).translate(LOWER).split()
     out.append(_END)
-    return out
+    yield out, True
 
 
-def contexts(classes: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """The two classes before each token, nearest first, within its text."""
+@dataclass
+class Portion:
+    """Tokens handled at once: the numbers of their texts, the words of each, the numbers of texts that end
+    here, and of all words the classes, the head's counts and the contexts."""
+
+    of: list[int]
+    words: list[list[bytes]]
+    ended: list[int]
+    classes: np.ndarray
+    counts: np.ndarray
+    h: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum([0, *[len(x) for x in self.words[:-1]]])
+
+
+def portions(texts: list[bytes], facts: _Facts) -> Iterator[Portion]:
+    """All tokens of the texts, about PORTION bytes at a time; contexts reach over portions of one text."""
+    of: list[int] = []
+    words: list[list[bytes]] = []
+    ended: list[int] = []
+    size, before, going = 0, (_PAD, _PAD), False
+
+    def done() -> Portion:
+        nonlocal before
+        flat = np.fromiter(map(facts.__getitem__, chain.from_iterable(words)), np.int64)
+        classes = flat & ((1 << _CLASS_BITS) - 1)
+        h = contexts(classes, [len(x) for x in words], before)
+        before = (int(classes[-1]), int(h[-1, 0])) if going else (_PAD, _PAD)
+        return Portion(of, words, ended, classes, flat >> _CLASS_BITS, h)
+
+    for k, text in enumerate(texts):
+        for part, last in tokens(text):
+            if part:
+                of.append(k)
+                words.append(part)
+            if last:
+                ended.append(k)
+            size += min(len(text), PORTION)
+            going = not last
+            if size >= PORTION and words:
+                yield done()
+                of, words, ended, size = [], [], [], 0
+    if words:
+        yield done()
+
+
+def contexts(classes: np.ndarray, lengths: list[int], before: tuple[int, int] = (_PAD, _PAD)) -> np.ndarray:
+    """The two classes before each token, nearest first, within its text; before: those before the first."""
     h = np.full((len(classes), 2), _PAD)
     h[1:, 0] = classes[:-1]
     h[2:, 1] = classes[:-2]
@@ -162,6 +229,9 @@ def contexts(classes: np.ndarray, lengths: list[int]) -> np.ndarray:
     h[starts] = _PAD
     second = starts + 1
     h[second[second < len(classes)], 1] = _PAD
+    h[0] = before
+    if len(classes) > 1 and lengths[0] > 1:
+        h[1, 1] = before[0]
     return h
 
 
@@ -175,18 +245,36 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
         n = Counter()
         for batch in batches:
             for x in utf8_list(batch.column(0)):
-                n.update(tokens(x))
-            if len(n) > COUNTED:
-                yield counted()
-                n.clear()
+                for part, _ in tokens(x):
+                    n.update(part)
+                    if len(n) > COUNTED:
+                        yield counted()
+                        n.clear()
         yield counted()
 
     return docs.select(text).mapInArrow(run, "word binary, class int, c long").groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
+def head(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
+    """The words of at least some count, with it, most frequent first: as many as there are of the least
+    count on a fixed scale that ``size`` words or fewer have. Only these and the scale come to the driver."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    scale = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, least = 0, None
+    for r in sorted(scale, key=lambda r: -r["level"]):
+        total += r["n"]
+        if total > size:
+            break
+        least = r["level"]
+    if least is None:
+        return []
+    top = counts.where(level >= least).select("word", "c").toArrow().to_pydict()
+    return sorted(zip(top["word"], top["c"], strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(HEAD).select("word", "c").collect()]
+    top = head(counts, HEAD)
     own = {w: k for k, (w, _) in enumerate(top[:OWN])}
     sums = np.ones(CLASSES)
     for r in counts.groupBy("class").agg(F.sum(F.col("c") + 1).alias("s")).collect():
@@ -197,27 +285,19 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(total["n"], total["v"], dict(top), own, sums)
 
 
-def _batch(texts: list[bytes], facts: _Facts) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, list[int]]:
-    """Tokens of each text, and of all of them the classes and the head's counts; lengths by text."""
-    words = [tokens(x) for x in texts]
-    flat = np.fromiter(map(facts.__getitem__, chain.from_iterable(words)), np.int64)
-    return words, flat & ((1 << _CLASS_BITS) - 1), flat >> _CLASS_BITS, [len(x) for x in words]
-
-
 def train(docs: DataFrame, key: str, text: str, words: Vocabulary) -> Parameters:
     """Parameters from all rows of docs."""
     noise = words.totals / words.totals.sum()
     p = Parameters.fresh(noise)
     if not words.v:
         return p
-    ids = docs.select(F.col(key).alias("__key"), F.xxhash64(key).alias("__h")).orderBy("__h", "__key").limit(START_DOCS)
-    sample = docs.join(F.broadcast(ids.select("__key")), docs[key] == F.col("__key"), "left_semi").select(key, F.col(text).alias("t")).toArrow().to_pydict()
-    texts = [x.encode() for _, x in sorted(zip(sample[key], sample["t"], strict=True), key=str) if x]
+    sample = drawn(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", START_DOCS)
+    texts = [r["__text"].encode() for r in first(one_a_key(sample, "__text").toArrow(), "__key", START_DOCS) if r["__text"]]
     if texts:
-        _, c, _, lengths = _batch(texts, _Facts(words))
-        trainer, h = Trainer(p, noise, 0), contexts(c, lengths)
+        facts, trainer = _Facts(words), Trainer(p, noise, 0)
         for _ in range(4):
-            trainer.run(c, h)
+            for x in portions(texts, facts):
+                trainer.run(x.classes, x.h)
         p = trainer.p
     start = p
 
@@ -225,9 +305,8 @@ def train(docs: DataFrame, key: str, text: str, words: Vocabulary) -> Parameters
         facts, trainer = _Facts(words), Trainer(start, noise, 1 + TaskContext.get().partitionId())
         some = False
         for batch in batches:
-            if batch.num_rows:
-                _, c, _, lengths = _batch(utf8_list(batch.column(0)), facts)
-                trainer.run(c, contexts(c, lengths))
+            for x in portions(utf8_list(batch.column(0)), facts):
+                trainer.run(x.classes, x.h)
                 some = True
         if some:
             # R, then Q with b as one more column, then C; a row weighs as often as its class was seen
@@ -255,18 +334,18 @@ class Scorer:
 
     def __init__(self, p: Parameters):
         self.p = p.cast(np.float64)
+        self.near, self.far = self.p.C[0] * self.p.R, self.p.C[1] * self.p.R
         self.log_z = np.full((CLASSES + 1) * (CLASSES + 1), np.nan)
 
     def logs(self, classes: np.ndarray, h: np.ndarray) -> np.ndarray:
         pair = h[:, 0] * (CLASSES + 1) + h[:, 1]
-        new = np.unique(pair)
-        new = new[np.isnan(self.log_z[new])]
+        new = np.unique(pair[np.isnan(self.log_z[pair])])
         for at in range(0, len(new), CONTEXTS):
             some = new[at : at + CONTEXTS]
             s = self.p.predict(np.stack([some // (CLASSES + 1), some % (CLASSES + 1)], 1)) @ self.p.Q.T + self.p.b
             most = s.max(1)
             self.log_z[some] = most + np.log(np.exp((s - most[:, None]).astype(np.float32)).sum(1, dtype=np.float64))
-        s = (self.p.predict(h) * self.p.Q[classes]).sum(1) + self.p.b[classes]
+        s = np.einsum("ij,ij->i", self.near[h[:, 0]] + self.far[h[:, 1]], self.p.Q[classes]) + self.p.b[classes]
         return (s - self.log_z[pair]) / math.log(10)
 
 
@@ -285,7 +364,10 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     """key, n_tokens, n_known, train_tokens, base_score and score of each row of docs.
 
     Null texts count as empty: a text of one token, the end. Repeated rows are scored one by one
-    and counted one by one. Without training rows both scores are 0. Other columns are ignored.
+    and counted one by one. Without training rows both scores are 0. Other columns are ignored. A text
+    of any length is gone through in portions. Counts and base scores don't depend on how rows are
+    dealt to partitions; ``score`` does a little, as each partition trains on its rows and the parameters
+    are averaged.
     """
     counts = materialize(count_words(training, text))
     words = vocabulary(counts)
@@ -297,26 +379,37 @@ def score(docs: DataFrame, training: DataFrame, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facts, scorer, row = _Facts(words), _scorer(name, params), TaskContext.get().partitionId() << 40
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            split, c, n, lengths = _batch(utf8_list(batch.column(1)), facts)
-            starts = np.cumsum([0, *lengths[:-1]])
-            logs = scorer.logs(c, contexts(c, lengths)) if v else np.zeros(len(c))
-            seen = n > 0
-            counted = np.log10(n + 1.0)
-            logs = logs + np.where(c >= OWN, counted - lift[c], 0.0) if v else logs
-            unseen = (~seen).tolist()
-            rare = [list(Counter(compress(x, unseen[a : a + len(x)])).items()) for x, a in zip(split, starts, strict=True)]
-            offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
-            flat = pa.StructArray.from_arrays([pa.array([w for x in rare for w, _ in x], pa.binary()), pa.array([k for x in rare for _, k in x], pa.int32())], names=["word", "tf"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat(seen.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(counted, starts)), pa.array(np.add.reduceat(logs, starts)), pa.ListArray.from_arrays(offsets, flat),
-                ],
-                names=["row", key, "n_tokens", "known", "base", "model", "rare"],
-            )
-            row += batch.num_rows
+            n = batch.num_rows
+            size, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            base, model = np.zeros(n), np.zeros(n)
+            rare: dict[int, Counter] = {}
+            done, held = 0, 0
+
+            def finished(to: int) -> pa.RecordBatch:
+                lists = [list(rare.pop(k, {}).items()) for k in range(done, to)]  # noqa: B023
+                offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+                flat = pa.StructArray.from_arrays([pa.array([w for x in lists for w, _ in x], pa.binary()), pa.array([k for x in lists for _, k in x], pa.int32())], names=["word", "tf"])
+                columns = [pa.array(np.arange(row + done, row + to)), batch.column(0).slice(done, to - done), *[pa.array(x[done:to]) for x in (size, known, base, model)], pa.ListArray.from_arrays(offsets, flat)]  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns, names=["row", key, "n_tokens", "known", "base", "model", "rare"])
+
+            for x in portions(utf8_list(batch.column(1)), facts):
+                logs = scorer.logs(x.classes, x.h) if v else np.zeros(len(x.classes))
+                seen, counted, starts = x.counts > 0, np.log10(x.counts + 1.0), x.starts
+                logs = logs + np.where(x.classes >= OWN, counted - lift[x.classes], 0.0) if v else logs
+                for total, one in ((size, np.ones(len(seen), np.int64)), (known, seen.astype(np.int64)), (base, counted), (model, logs)):
+                    np.add.at(total, x.of, np.add.reduceat(one, starts))
+                unseen = (~seen).tolist()
+                for k, words_of, at in zip(x.of, x.words, starts, strict=True):
+                    more = rare.setdefault(k, Counter())
+                    had = len(more)
+                    more.update(compress(words_of, unseen[at : at + len(words_of)]))
+                    held += len(more) - had
+                if held > RARE and x.ended:
+                    yield finished(x.ended[-1] + 1)
+                    done, held = x.ended[-1] + 1, sum(map(len, rare.values()))
+            if done < n:
+                yield finished(n)
+            row += n
 
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, kind), *[T.StructField(x, T.LongType()) for x in ("n_tokens", "known")], *[T.StructField(x, T.DoubleType()) for x in ("base", "model")]])

@@ -163,3 +163,87 @@ def test_lm_looks_up_rare_words_by_a_join(spark, tables, monkeypatch):
     monkeypatch.setattr(lbl, "HEAD", 40)
     got = {(r["doc_id"], r["n_tokens"]): r["base_score"] for r in lbl.query(docs).collect()}
     assert got == pytest.approx(want)
+
+
+def test_nce_gradients_are_those_of_the_loss(monkeypatch):
+    monkeypatch.setattr(lbl, "CLASSES", 7)
+    rng = np.random.default_rng(5)
+    p = lbl.Parameters(rng.normal(size=(8, lbl.DIM)), rng.normal(size=(7, lbl.DIM)), rng.normal(size=7), rng.normal(size=(2, lbl.DIM)))
+    h, w, k, lift = rng.integers(0, 8, (20, 2)), rng.integers(0, 7, 20), rng.integers(0, 7, 5), rng.normal(size=7)
+
+    def loss():
+        total = 0.0
+        for (a, b), x in zip(h, w, strict=True):
+            q = p.C[0] * p.R[a] + p.C[1] * p.R[b]
+            total += np.logaddexp(0, -(q @ p.Q[x] + p.b[x] - lift[x])) + sum(np.logaddexp(0, q @ p.Q[y] + p.b[y] - lift[y]) for y in k)
+        return total
+
+    before = loss()
+    for x, g in zip((p.R, p.Q, p.b, p.C), lbl.nce_gradients(p, h, w, k, lift), strict=True):
+        for at in [tuple(rng.integers(0, n) for n in x.shape) for _ in range(12)]:
+            x[at] += 1e-6
+            assert (loss() - before) / 1e-6 == pytest.approx(g[at], abs=1e-3)
+            x[at] -= 1e-6
+
+
+def test_lm_long_texts_go_in_portions(spark, tables, monkeypatch):
+    """Portions of any size give the tokens, contexts and scores of whole texts."""
+    texts = [b"", b"a b c d e", b" x " * 50, b"one two\nthree", b"q" * 300 + b" r", b"\t"]
+    facts = type("F", (dict,), {"__missing__": lambda self, w: lbl.shared_class(w) if w else 5})()
+    whole = list(lbl.portions(texts, facts))
+    assert len(whole) == 1
+    for size in (1, 4, 9, 60):
+        monkeypatch.setattr(lbl, "PORTION", size)
+        parts = list(lbl.portions(texts, facts))
+        assert np.concatenate([x.h for x in parts]).tolist() == whole[0].h.tolist() and np.concatenate([x.classes for x in parts]).tolist() == whole[0].classes.tolist()
+        assert [k for x in parts for k in x.ended] == list(range(len(texts)))
+    docs, _, _, _, _ = tables
+    some = docs.where("doc_id < 40 OR doc_id >= 10000").coalesce(1)
+    monkeypatch.setattr(lbl, "train", lambda d, key, text, words: lbl.Parameters.fresh(words.totals / words.totals.sum()))
+    monkeypatch.setattr(lbl, "PORTION", 1 << 20)
+    want = {r["doc_id"]: r for r in lbl.score(some, docs).collect()}
+    monkeypatch.setattr(lbl, "HEAD", 40)
+    monkeypatch.setattr(lbl, "RARE", 3)
+    rare = {r["doc_id"]: r for r in lbl.score(some, docs).collect()}
+    for i, r in want.items():
+        assert rare[i]["n_known"] == r["n_known"] and rare[i]["base_score"] == pytest.approx(r["base_score"])
+    monkeypatch.setattr(lbl, "PORTION", 64)
+    for r in lbl.score(some, docs).collect():
+        assert tuple(r) == pytest.approx(tuple(rare[r["doc_id"]]))
+
+
+def test_lm_head_is_cut_at_a_count(spark):
+    counts = spark.createDataFrame([(b"w%d" % k, 1 + k // 3) for k in range(300)], "word binary, c long")
+    got = lbl.head(counts, 40)
+    assert 24 < len(got) <= 40 and got == sorted(((b"w%d" % k, 1 + k // 3) for k in range(300)), key=lambda x: (-x[1], x[0]))[: len(got)]
+    assert lbl.head(counts.limit(0), 5) == []
+
+
+def test_lm_scores_are_those_of_the_definition(spark, monkeypatch):
+    """log10 of the class's probability given two classes, and of the word's smoothed share of its class."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1200, 400)) for _ in range(8)] + ["", "W1 new words"]
+    n = lbl.CLASSES
+    p = lbl.Parameters(rng.normal(size=(n + 1, lbl.DIM)), rng.normal(size=(n, lbl.DIM)), rng.normal(size=n), rng.normal(size=(2, lbl.DIM)))
+    monkeypatch.setattr(lbl, "train", lambda *_: p)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    train = docs.where("doc_id < 8")
+    counts = {}
+    for t in texts[:8]:
+        for w in [*t.lower().split(), ""]:
+            counts[w] = counts.get(w, 0) + 1
+    order = sorted(counts, key=lambda w: (-counts[w], w.encode()))
+    own = set(order[: lbl.OWN])
+    assert len(order) > lbl.OWN
+    kind = lambda w: order.index(w) if w in own else lbl.shared_class(w.encode())
+    for r in lbl.score(docs, train).collect():
+        want, h = 0.0, [n, n]
+        for w in [*texts[r["doc_id"]].lower().split(), ""]:
+            s = p.Q @ (p.C[0] * p.R[h[0]] + p.C[1] * p.R[h[1]]) + p.b
+            c = kind(w)
+            want += (s[c] - np.log(np.exp(s).sum())) / math.log(10)
+            if c >= lbl.OWN:
+                total = 1 + sum(k + 1 for x, k in counts.items() if kind(x) == c)
+                want += math.log10((counts.get(w, 0) + 1) / total)
+            h = [c, h[0]]
+        assert r["score"] == pytest.approx(want, rel=1e-5)
