@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.functions import deflate, images, jpeg
+from foliospark.functions import deflate, images, jpeg, native
+from foliospark.operators import slots
 from foliospark.plans import files
 from foliospark.sources.pdf import load, read_files
 from foliospark.sources.pdfsyntax import PdfError
@@ -51,9 +52,14 @@ class PdfObjects:
                 return
 
 
-@F.udtf(returnType="page_no int, seq int, text string, x double, y double, w double, size double, up double")
+@F.pandas_udf(T.StringType())
+def _sanitize(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else slots.sanitize(x))
+
+
+@F.udtf(returnType="page_no int, seq int, kind string, text string, x0 double, y0 double, x1 double, y1 double, size double, up double")
 class PageMarks:
-    """Rows of the text runs of a file's pages."""
+    """Rows of the marks of a file's pages: text runs, rectangles and segments, each kind in order of painting."""
 
     def eval(self, content: bytes):
         from foliospark.operators.marks import page_marks
@@ -64,8 +70,13 @@ class PageMarks:
             except PdfError:
                 return
             for no, num in enumerate(doc.pages(), 1):
-                for seq, t in enumerate(page_marks(doc, num).texts):
-                    yield (no, seq, *t)
+                marks = page_marks(doc, num)
+                for seq, t in enumerate(marks.texts):
+                    yield no, seq, "text", t.text, t.x, t.y, t.x + t.w, t.y, t.size, t.up
+                for seq, r in enumerate(marks.rects):
+                    yield no, seq, "rectangle", None, r.llx, r.lly, r.urx, r.ury, None, None
+                for seq, s in enumerate(marks.segs):
+                    yield no, seq, "segment", None, s.x0, s.y0, s.x1, s.y1, None, None
 
 
 zlib_compress, fnv_fold = _binary(deflate.compress), _binary(images.fnv_fold)
@@ -77,7 +88,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        for name, f in {"zlib_compress": zlib_compress, "fnv_fold": fnv_fold, "jpeg_encode": jpeg_encode, "ssim": ssim, "classify_image": classify_image}.items():
+        for name, f in {"zlib_compress": zlib_compress, "fnv_fold": fnv_fold, "jpeg_encode": jpeg_encode, "ssim": ssim, "classify_image": classify_image, "adler32": native._adler32, "sanitize_label": _sanitize}.items():
             spark.udf.register(name, f)
         spark.udtf.register("pdf_objects", PdfObjects)
         spark.udtf.register("page_marks", PageMarks)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from foliospark.sources.pdf import Document, refs_of
 from foliospark.sources.pdfsyntax import Ref, Stream
 from foliospark.sources.storage import written
 
+FOLD = 8
+
 
 def reachable(doc: Document) -> set[int]:
     """Numbers of the objects that the trailer's Root and Info lead to."""
@@ -46,21 +46,17 @@ def rewritten(v, to: dict[int, int]):
 def closure(edges: DataFrame, roots: DataFrame, rounds: int = 10_000) -> DataFrame:
     """Nodes that roots (node) lead to over edges (src, dst), roots included; ends on cycles too.
 
-    Breadth first: each round joins the last round's new nodes only, and is written to the shared
-    folder, so the plan stays short and outlives lost executors. Nulls are ignored.
+    Breadth first: each round joins the last round's new nodes only. Edges are written once, and rounds to
+    the shared folder; every FOLD rounds the nodes seen are written as one table, so plans stay short, and
+    all outlives lost executors. Nulls are ignored.
     """
-    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    edges = written(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     front = written(roots.select("node").where("node IS NOT NULL").distinct())
     seen = front
-    for _ in range(rounds):
+    for k in range(rounds):
         if front.isEmpty():
             return seen
         reached = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = written(reached.join(seen, "node", "left_anti"))
-        seen = seen.unionAll(front)
+        seen = seen.unionAll(front) if k % FOLD else written(seen.unionAll(front))
     raise RuntimeError(f"no fixpoint within {rounds} rounds")
-
-
-def keep(nodes: Iterable[int], doc: Document) -> Document:
-    kept = set(nodes)
-    return Document({n: v for n, v in doc.objects.items() if n in kept}, doc.trailer, doc.gens)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 from foliospark.sources.pdf import Document
-from foliospark.sources.pdfsyntax import Name, PdfError, Ref, Stream, decoded, operations, text_of
+from foliospark.sources.pdfsyntax import Name, PdfError, Ref, Stream, operations, text_of
 
 Matrix = tuple[float, float, float, float, float, float]
 UNIT: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -343,7 +343,7 @@ def form_source(doc: Document, num: int, parent: dict[str, int]) -> tuple[bytes,
     if not isinstance(s, Stream) or s.dict.get("Subtype") != "Form":
         return None
     try:
-        data = decoded(s) or s.data
+        data = doc.data(s) or s.data
     except PdfError:
         data = s.data
     m = doc.get(s.dict.get("Matrix"))

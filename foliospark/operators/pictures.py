@@ -10,7 +10,7 @@ import numpy as np
 from foliospark.functions import deflate, images, jpeg, jpeg_decode
 from foliospark.functions.predictor import encode_png_best
 from foliospark.operators.graph import rewritten
-from foliospark.sources.pdf import Document, refs_of
+from foliospark.sources.pdf import Document
 from foliospark.sources.pdfsyntax import Name, PdfError, Ref, Stream, decoded, filters_of
 
 EDGE, QUALITY, SMALL = 1920, 62, 80 * 80
@@ -47,17 +47,12 @@ def flate_eligible(d: dict) -> bool:
 
 
 def components(doc: Document, d: dict) -> int | None:
-    """Samples a pixel of a colour space: ICC profiles by their own count; None where unsupported."""
+    """Samples a pixel of a colour space as its name says: one for gray, three for any other, none (None) for
+    DeviceCMYK. Indexed samples and profiles of one channel so turn out too short and are passed over."""
     c = doc.get(d.get("ColorSpace"))
-    head = c[0] if isinstance(c, list) and c else c
-    if head in ("DeviceGray", "CalGray"):
-        return 1
-    if head in ("DeviceCMYK", "Indexed"):
-        return None
-    if head == "ICCBased" and len(c) > 1:
-        n = doc.dict_of(c[1]).get("N", 3)
-        return n if n in (1, 3) else None
-    return 3
+    if isinstance(c, list):
+        return 1 if c and c[0] in ("DeviceGray", "CalGray") else 3
+    return 1 if c in ("DeviceGray", "DeviceGrey") else None if c == "DeviceCMYK" else 3
 
 
 def soft_masks(doc: Document) -> dict[int, int]:
@@ -98,7 +93,7 @@ def decode(doc: Document, num: int, soft_mask: bool) -> Image:
         return skipped("unsupported filter")
     n = components(doc, s.dict)
     try:
-        data = decoded(s)
+        data = doc.data(s)
     except PdfError:
         data = b""
     if n is None or (integer(s.dict, "BitsPerComponent") or 8) != 8 or len(data) < width * height * n:
@@ -110,7 +105,7 @@ def decode(doc: Document, num: int, soft_mask: bool) -> Image:
 def _from_jpeg(doc: Document, s: Stream, num: int, width: int, height: int) -> Image | None:
     """The pixels of a JPEG stream, whose size must be the one its dictionary states."""
     try:
-        w, h, channels, data = jpeg_decode.decode(_before_codec(s))
+        w, h, channels, data = jpeg_decode.decode(_before_codec(doc, s))
     except (ValueError, PdfError):
         return None
     rgb = data if channels == 3 else np.frombuffer(data, np.uint8).repeat(3).tobytes()
@@ -118,9 +113,9 @@ def _from_jpeg(doc: Document, s: Stream, num: int, width: int, height: int) -> I
     return Image(num, width, height, rgb if reason is None else b"", reason, len(s.data))
 
 
-def _before_codec(s: Stream) -> bytes:
+def _before_codec(doc: Document, s: Stream) -> bytes:
     """A stream's data through its filters but for the last."""
-    f = s.dict.get("Filter")
+    f = doc.resolved(s.dict.get("Filter"))
     return decoded(Stream({"Filter": f[:-1]}, s.data)) if isinstance(f, list) and len(f) > 1 else s.data
 
 
@@ -146,6 +141,19 @@ def recompressed(image: Image, d: dict) -> Stream | None:
     return None
 
 
+def gray_samples(doc: Document, s: Stream, w: int, h: int) -> bytes | None:
+    """The samples of a gray image of 8 bits, from a JPEG its first channel; None where they can't be had."""
+    try:
+        if leaf_filter(s.dict) == "DCTDecode":
+            jw, jh, channels, data = jpeg_decode.decode(_before_codec(doc, s))
+            data = data[::channels] if (jw, jh) == (w, h) else b""
+        else:
+            data = doc.data(s) if (integer(s.dict, "BitsPerComponent") or 8) == 8 else b""
+    except (ValueError, PdfError):
+        return None
+    return data if w > 0 and h > 0 and len(data) >= w * h else None
+
+
 def synced_mask(doc: Document, d: dict, width: int, height: int, uses: dict[int, int]) -> tuple[int, Stream] | bool:
     """The soft mask at an image's new size; True where there is none, False where it can't follow."""
     m = d.get("SMask")
@@ -155,11 +163,8 @@ def synced_mask(doc: Document, d: dict, width: int, height: int, uses: dict[int,
     if not isinstance(s, Stream) or uses.get(m.num, 0) > 1:
         return False
     w, h = integer(s.dict, "Width") or 0, integer(s.dict, "Height") or 0
-    try:
-        data = decoded(s)
-    except PdfError:
-        return False
-    if w <= 0 or h <= 0 or len(data) < w * h or (integer(s.dict, "BitsPerComponent") or 8) != 8:
+    data = gray_samples(doc, s, w, h)
+    if data is None:
         return False
     gray = images.resize(np.frombuffer(data, np.uint8)[: w * h].reshape(h, w, 1), width, height).tobytes()
     kept = {k: v for k, v in s.dict.items() if k != "DecodeParms"}
@@ -218,7 +223,7 @@ def reflate(doc: Document) -> int:
         if not isinstance(s, Stream) or is_image(s.dict) or not flate_eligible(s.dict):
             continue
         try:
-            raw = decoded(s)
+            raw = doc.data(s)
         except PdfError:
             continue
         if not raw or (len(s.data) > 64 and len(raw) < 16):
@@ -228,7 +233,3 @@ def reflate(doc: Document) -> int:
             doc.objects[num] = Stream({k: v for k, v in s.dict.items() if k != "DecodeParms"} | {"Filter": Name("FlateDecode")}, data)
             n += 1
     return n
-
-
-def references(doc: Document) -> list[tuple[int, int]]:
-    return [(n, r) for n in sorted(doc.objects) for r in refs_of(doc.objects[n])]

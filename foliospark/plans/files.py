@@ -59,6 +59,9 @@ def per_file(files: DataFrame, schema: str, kernel: Callable[[bytes], list[tuple
                     rows += [(name, *r, None, None) for r in kernel(content.as_py() or b"")]
                 except PdfError as e:
                     rows.append((name, *[None] * width, e.kind, str(e)))
+                except (TypeError, ValueError, ArithmeticError, LookupError, AttributeError, RecursionError) as e:
+                    # an odd file must not end the job of all others
+                    rows.append((name, *[None] * width, "Invalid", f"{type(e).__name__}: {e}"))
                 if len(rows) >= BATCH_ROWS:
                     yield batch_of(rows)
                     rows = []

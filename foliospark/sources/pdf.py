@@ -31,6 +31,18 @@ class Document:
         v = self.get(v)
         return v.dict if isinstance(v, Stream) else v if isinstance(v, dict) else {}
 
+    def data(self, s: Stream) -> bytes:
+        """The decoded data of a stream, whose filters and parameters may be references."""
+        keys = [k for k in ("Filter", "DecodeParms", "DP") if k in s.dict]
+        return decoded(Stream(s.dict | {k: self.resolved(s.dict[k]) for k in keys}, s.data))
+
+    def resolved(self, v, depth: int = 3):
+        """v without references, as far as ``depth`` levels down."""
+        v = self.get(v)
+        if depth and isinstance(v, list):
+            return [self.resolved(x, depth - 1) for x in v]
+        return {k: self.resolved(x, depth - 1) for k, x in v.items()} if depth and isinstance(v, dict) else v
+
     def pages(self) -> list[int]:
         """Object numbers of the pages in order; a node met before is passed over."""
         out, seen = [], set()
@@ -65,7 +77,7 @@ class Document:
         for s in parts:
             if isinstance(s, Stream):
                 try:
-                    out.append(decoded(s))
+                    out.append(self.data(s))
                 except PdfError:
                     out.append(s.data)
         return b"\n".join(out)
