@@ -2,7 +2,7 @@
 
 Candidates come in a fixed order (underscore runs, rectangles, lines) and one that overlaps an
 accepted one is out, so this is a fold over a page's marks, not a join. The label searches are
-arg-mins over the text runs; ``labels.nearest`` says the same over tables.
+arg-mins over the text runs; ``labels.nearest_label`` says the same over tables.
 """
 
 from __future__ import annotations

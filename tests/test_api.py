@@ -23,6 +23,56 @@ def test_sql_functions(spark):
     assert r["s"] == 1.0 and r["k"] == "Bitonal" and r["n"] > 100
 
 
+def test_sql_marks_checksums_and_labels(spark):
+    Engine(spark)
+    page = build([b"BT /F1 12 Tf 72 700 Td (Hi) Tj ET 72 640 14 14 re S 100 100 m 200 100 l S"])
+    spark.createDataFrame([("a", page), ("b", None)], "path string, content binary").createOrReplaceTempView("pages_given")
+    got = spark.sql("SELECT m.kind, m.x0, m.y0, m.x1, m.y1 FROM pages_given g, LATERAL page_marks(g.content) m").collect()
+    assert {r["kind"]: tuple(r)[1:] for r in got if r["kind"] != "text"} == {"rectangle": (72, 640, 86, 654), "segment": (100, 100, 200, 100)}
+    r = spark.sql("SELECT adler32(CAST('abc' AS BINARY)) AS a, adler32(CAST(NULL AS BINARY)) AS n, sanitize_label(' * Your name: ') AS s, sanitize_label('...') AS e").first()
+    assert (r["a"], r["n"], r["s"], r["e"]) == (zlib.adler32(b"abc"), None, "Your name", None)
+
+
+def test_one_odd_file_ends_no_job(spark):
+    from foliospark.sources.layouts import odd_file
+
+    rows = spark.createDataFrame([(str(k), odd_file(k)) for k in range(12)], "path string, content binary")
+    for plan in (files.inspect, files.compress, files.prepare_form, files.objects, files.image_table):
+        got = {int(r["path"]): r["error_class"] for r in plan(rows).collect()}
+        assert {k: v for k, v in got.items() if v} == {1: "Encrypted", 2: "Invalid", 4: "Invalid", 7: "Encrypted", 8: "Invalid", 10: "Invalid"}
+
+    def raising(content):
+        raise KeyError("odd")
+
+    assert {r["error_class"] for r in files.per_file(rows, "x long", raising).collect()} == {"Invalid"}
+
+
+def test_reports_beyond_the_screen_are_written_whole(spark, capsys, monkeypatch):
+    from foliospark import __main__
+
+    monkeypatch.setattr(__main__, "SHOWN", 3)
+    __main__.show(spark.range(10))
+    out = capsys.readouterr().out
+    assert "7 more rows are in " in out
+    assert spark.read.parquet(out.rsplit(" in ", 1)[1].strip()).count() == 10
+
+
+def test_output_path_and_mounts(spark, tmp_path):
+    import pytest
+
+    from foliospark.sources.sinks import write_files
+
+    (tmp_path / "x.pdf").write_bytes(FORM)
+    assert main(["form", str(tmp_path / "x.pdf"), "-o", str(tmp_path / "to.pdf")]) == 0
+    assert len(load((tmp_path / "to.pdf").read_bytes()).pages()) == 1 and not (tmp_path / "x.form.pdf").exists()
+    (tmp_path / "y.pdf").write_bytes(FORM)
+    with pytest.raises(SystemExit):
+        main(["form", str(tmp_path / "*.pdf"), "--output", str(tmp_path / "to2.pdf")])
+    rows = spark.createDataFrame([("s3a://bucket/x.pdf", FORM)], "path string, output binary")
+    with pytest.raises(Exception, match="no mounted folder"):
+        write_files(rows, "form.pdf").collect()
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "x.pdf").write_bytes(FORM)
     assert main(["inspect", str(tmp_path / "x.pdf")]) == 0

@@ -167,3 +167,31 @@ def test_closure_ends_on_cycles(spark):
     got = closure(edges, spark.createDataFrame([(1,), (1,), (None,)], "node long"))
     assert sorted(r["node"] for r in got.collect()) == [1, 2, 3]
     assert closure(edges, spark.createDataFrame([], "node long")).count() == 0
+
+
+def test_closure_of_a_long_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)], "src long, dst long")
+    assert closure(edges, spark.createDataFrame([(0,)], "node long")).count() == 21
+
+
+def test_parameters_may_be_references_and_names():
+    from foliospark.operators.pictures import decode, gray_samples
+
+    rows = bytes([2, 1, 2, 3, 2, 1, 1, 1])
+    s = Stream({"Filter": Ref(8, 0), "DecodeParms": Ref(9, 0)}, zlib.compress(rows))
+    doc = Document({1: s, 8: Name("FlateDecode"), 9: {"Predictor": Ref(7, 0), "Columns": Ref(6, 0)}, 7: 12, 6: 3}, {}, {})
+    assert doc.data(s) == bytes([1, 2, 3, 2, 3, 4])
+    with pytest.raises(Invalid):
+        decoded(Stream({"Filter": Name("FlateDecode"), "DecodeParms": {"Predictor": 12, "Columns": 10**12}}, zlib.compress(rows)))
+    odd = Stream({"Filter": Name("FlateDecode"), "DecodeParms": {"Predictor": Name("x"), "Columns": [1]}}, zlib.compress(rows))
+    assert decoded(odd) == rows
+    base = {"Subtype": Name("Image"), "Width": 2, "Height": 2, "BitsPerComponent": 8}
+    for space, n, reason in (([Name("ICCBased"), Ref(7, 0)], 12, None), ([Name("Indexed"), Name("DeviceRGB")], 4, "raw decode failed"), ([Name("CalGray"), {}], 4, None), (Name("DeviceGrey"), 4, None), (None, 12, None)):
+        image = Document({1: Stream(base | ({"ColorSpace": space} if space else {}), bytes(n))}, {}, {})
+        assert decode(image, 1, False).skip_reason == reason
+    from foliospark.functions import jpeg
+
+    mask = Stream(base | {"Width": 8, "Height": 8, "Filter": Name("DCTDecode")}, jpeg.encode_rgb(8, 8, bytes([90] * 192), 95))
+    got = gray_samples(Document({}, {}, {}), mask, 8, 8)
+    assert len(got) >= 64 and all(abs(x - 90) < 4 for x in got[:64])
+    assert gray_samples(Document({}, {}, {}), mask, 9, 8) is None
