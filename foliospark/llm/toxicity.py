@@ -33,6 +33,8 @@ LEAST_PRECISION, LEAST_BOUND, SURE = 0.95, 0.75, 1.96
 #: Features in fewer documents of the sample than this are not kept.
 LEAST_DOCS = 4
 EPOCHS = 8
+#: Marginals under this don't count toward a text's sum.
+LEAST_MARGINAL = 0.1
 #: Words whose potentials a worker remembers; beyond that it starts anew.
 CACHE = 300_000
 _EDGES = b".,;:!?\"'()[]{}*&%$#|<>-"
@@ -134,7 +136,8 @@ def _chains(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def summary(p: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-    """Of each text: 1, the logit of the largest marginal, and the log of the expected toxic tokens."""
+    """Of each text: 1, the logit of the largest marginal, and the log of the sum of marginals of LEAST_MARGINAL and
+    more, so that the many clean words of a long text don't add up to a toxic one."""
     out = np.zeros((len(per_text), 3))
     out[:, 0] = 1
     out[:, 1] = -12.0
@@ -144,7 +147,7 @@ def summary(p: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         starts = (ends - per_text)[full]
         most = np.clip(np.maximum.reduceat(p, starts), 6.2e-6, 1 - 6.2e-6)
         out[full, 1] = np.log(most / (1 - most))
-        out[full, 2] = np.log1p(np.add.reduceat(p, starts))
+        out[full, 2] = np.log1p(np.add.reduceat(np.where(p >= LEAST_MARGINAL, p, 0.0), starts))
     return out
 
 

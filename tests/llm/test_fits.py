@@ -113,3 +113,11 @@ def test_drawn_from_an_empty_table(spark):
     empty = spark.createDataFrame([], "k long, c string, t string")
     assert sampling.drawn(empty, "k", 5, "c").count() == 0 and sampling.drawn(empty, "k", 5).count() == 0
     assert sampling.first(pa.table({"k": [], sampling.HASH: []}), "k", 5) == []
+
+
+def test_clean_words_of_a_long_text_do_not_add_up():
+    for n in (10, 1_000_000):
+        p = np.full(n, 2e-4)
+        assert toxicity.summary(p, np.array([n]))[0, 2] == 0
+    p[5] = 0.9
+    assert toxicity.summary(p, np.array([n]))[0, 2] == pytest.approx(np.log1p(0.9))
