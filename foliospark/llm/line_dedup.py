@@ -70,6 +70,13 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     return out.select(*columns, *ADDED)
 
 
+def stripped(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """docs without its boilerplate lines, every column under its name, whatever that is."""
+    own = [host, text, "n_chars"]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(c if c in own else f"d_{c}") for c in docs.columns])
+    return drop_boilerplate(renamed, host, text).select(*[F.col(f"`{c if c in own else f'd_{c}'}`").alias(c) for c in docs.columns])
+
+
 def query(docs: DataFrame) -> DataFrame:
     return drop_boilerplate(docs).select("doc_id", "text", "n_chars", *ADDED)
 
