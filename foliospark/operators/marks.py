@@ -10,6 +10,7 @@ import math
 import re
 import struct
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 from typing import NamedTuple
 
 from foliospark.sources.pdf import Document
@@ -105,6 +106,22 @@ def em(c: str) -> float:
     return EM_DIGIT if c in "0123456789" else EM_OTHER
 
 
+class _Widths(dict):
+    """Widths of characters in one text state, computed where first met."""
+
+    def __init__(self, font_size: float, char_space: float, word_space: float, hscale: float):
+        super().__init__()
+        self.state = font_size, char_space, word_space, hscale
+
+    def __missing__(self, c: str) -> float:
+        font_size, char_space, word_space, hscale = self.state
+        x = self[c] = (em(c) * font_size + char_space + (word_space if c == " " else 0.0)) * (hscale / 100.0)
+        return x
+
+
+_widths = lru_cache(maxsize=256)(_Widths)
+
+
 @dataclass
 class _State:
     ctm: Matrix
@@ -284,7 +301,7 @@ class _Machine:
 
     def width(self, text: str) -> float:
         s = self.state
-        return sum((em(c) * s.font_size + s.char_space + (s.word_space if c == " " else 0.0)) * (s.hscale / 100.0) for c in text)
+        return sum(map(_widths(s.font_size, s.char_space, s.word_space, s.hscale).__getitem__, text))
 
     def emit(self, raw: bytes):
         """Runs of underscores and runs of anything else; only level text is kept, all of it advances."""

@@ -38,3 +38,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{workspace(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its scan would leave at least half of them idle: a file of one row group is one
+    task however many cores there are. Rows are only dealt anew; a larger table isn't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores // 2 else df

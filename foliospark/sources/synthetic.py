@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.sources.pdf import build, dump, load
 from foliospark.sources.pdfsyntax import Name, Ref, Stream, bytes_of, encoded
+from foliospark.sources.storage import spread
 
 LINES = 40
 SIDE = 8
@@ -23,7 +24,7 @@ def made(rows: DataFrame, columns: list[str], kernel: Callable[..., bytes]) -> D
             values = [c.to_pylist() for c in batch.columns]
             yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in values[0]]), pa.array([kernel(*r) for r in zip(*values, strict=True)], pa.binary())], names=["path", "content"])
 
-    return rows.select(*columns).mapInArrow(run, "path string, content binary")
+    return spread(rows.select(*columns)).mapInArrow(run, "path string, content binary")
 
 
 def text_file(doc_id: int, text: str | None) -> bytes:

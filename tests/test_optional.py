@@ -37,3 +37,12 @@ def test_a_cluster_needs_a_shared_folder():
             workspace(Session(master))
     local = Session("local[2]")
     assert os.path.isdir(workspace(local).removeprefix("file://")) and workspace(local) == workspace(local)
+
+
+def test_only_small_scans_are_spread(spark):
+    from foliospark.sources.storage import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, cores)
+    assert spread(one).rdd.getNumPartitions() == cores and spread(one).count() == 100
+    assert spread(many) is many
