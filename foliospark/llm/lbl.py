@@ -87,15 +87,26 @@ def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.maximum(z, -30, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
+
+
 def nce_gradients(p: Parameters, h: np.ndarray, w: np.ndarray, k: np.ndarray, lift: np.ndarray) -> tuple[np.ndarray, ...]:
     """Gradients by R, Q, b and C of the noise-contrastive loss of classes w in contexts h against noise
     samples k, which all tokens share: -log sig(s_w - lift_w) - sum over k of log sig(lift_k - s_k)."""
     r1, r2 = p.R[h[:, 0]], p.R[h[:, 1]]
     q = p.C[0] * r1 + p.C[1] * r2
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    gp = sig((q * p.Q[w]).sum(1) + p.b[w] - lift[w]) - 1
-    gn = sig(q @ p.Q[k].T + p.b[k] - lift[k])
-    dq = gp[:, None] * p.Q[w] + gn @ p.Q[k]
+    true, noise = p.Q[w], p.Q[k]
+    gp = _sigmoid(np.einsum("ij,ij->i", q, true) + (p.b[w] - lift[w])) - 1
+    gn = _sigmoid(q @ noise.T + (p.b[k] - lift[k]))
+    dq = gn @ noise
+    true *= gp[:, None]
+    dq += true
     dQ = _scatter(np.concatenate([w, k]), np.concatenate([gp[:, None] * q, gn.T @ q]), CLASSES)
     db = np.bincount(np.concatenate([w, k]), weights=np.concatenate([gp, gn.sum(0)]), minlength=CLASSES).astype(p.b.dtype)
     dR = _scatter(np.concatenate([h[:, 0], h[:, 1]]), np.concatenate([p.C[0] * dq, p.C[1] * dq]), CLASSES + 1)
