@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from foliospark.sources.storage import spread
-from foliospark.sources.storage import written as materialize
+from foliospark.sources.storage import spread, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +28,15 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def materialize(df: DataFrame, rows: int | None = None, a_task: int = 50_000) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage and outlives executors.
+
+    With ``rows``, a bound of what the last stage goes through, by no more tasks than have ``a_task`` rows
+    each: tables of few rows are few files, whatever the number of shuffle partitions.
+    """
+    return written(df if rows is None else df.coalesce(max(1, -(-rows // a_task))))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of one Arrow batch, so that long texts fit a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import materialize
 
+#: Edges a task of a round has at least.
+EDGES = 2_000
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges with u > v: neighbours are hung on the least node that their centre sees."""
@@ -35,7 +38,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(state) == seen or not state["n"]:
             break
         seen = tuple(state)
-        edges = materialize(_stars(_stars(edges, True), False))
+        edges = materialize(_stars(_stars(edges, True), False), state["n"], EDGES)
     else:
         raise RuntimeError(f"no fixpoint within {rounds} rounds")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import LOWER, map_texts, materialize, without
+from foliospark.llm.common import LOWER, map_texts, materialize
 from foliospark.llm.components import connected_components
 
 HALF = 3
@@ -40,6 +40,8 @@ MISSED = 3e-5
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1 << 21
 HUBS = 4
+#: Sets that a task compares, and texts that it reads, at least, however many small partitions there are.
+SETS, TEXTS = 2_000, 5_000
 #: Ids up to this many (12 MB) are broadcast to pick out documents; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -219,22 +221,22 @@ def _verify(percent: int):
     return run
 
 
-def _compared(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of units: rows (rep, g, i, block, rest, tree, role), with their sets."""
+def _compared(rows: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (u, v) of units: rows (rep, g, i, block, rest, tree, role), about n of them, with their sets."""
     rows = rows.join(sets, "rep").repartition("g", "block", "rest").sortWithinPartitions("g", "block", "rest", "rep")
-    return materialize(rows.select("rep", "g", "i", "block", "rest", "tree", "role", "a", "b", "shingles").mapInArrow(_verify(percent), "u long, v long"))
+    return materialize(rows.select("rep", "g", "i", "block", "rest", "tree", "role", "a", "b", "shingles").mapInArrow(_verify(percent), "u long, v long"), n, SETS)
 
 
-def _members(reps: DataFrame) -> DataFrame:
+def _members(reps: DataFrame, tuples: int) -> DataFrame:
     """(rep, n_shingles, i, g): the groups g, of tuple i of the first collection, in which a representative
-    shares a table with another."""
+    shares a table with another. tuples: a bound of the number of tuples of the first collection."""
     first = reps.select("rep", F.posexplode("a").alias("i", "tuple")).select("rep", "i", F.xxhash64("i", "tuple").alias("g"))
     shared = first.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
     met = first.join(shared, "g", "left_semi")
     # keys of the tables, for these only: tuple i of the first collection with tuple j of the second
-    table = materialize(met.join(reps.select("rep", "n_shingles", "b"), "rep").select("rep", "n_shingles", "i", "g", F.posexplode("b").alias("j", "other")).select("rep", "n_shingles", "i", "g", F.xxhash64("g", "j", "other").alias("t")))
+    table = materialize(met.join(reps.select("rep", "n_shingles", "b"), "rep").select("rep", "n_shingles", "i", "g", F.posexplode("b").alias("j", "other")).select("rep", "n_shingles", "i", "g", F.xxhash64("g", "j", "other").alias("t")), tuples)
     full = table.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
-    return materialize(table.join(full, "t", "left_semi").select("rep", "n_shingles", "i", "g").distinct())
+    return materialize(table.join(full, "t", "left_semi").select("rep", "n_shingles", "i", "g").distinct(), tuples)
 
 
 def _units(member: DataFrame) -> DataFrame:
@@ -281,21 +283,23 @@ def _second_pass(cut: DataFrame, found: DataFrame) -> DataFrame:
     return y.select(names).unionAll(x.select(names))
 
 
-def links(docs: DataFrame, reps: DataFrame, key: str, text: str, k: int, percent: int, half: int, side: int, repeated: bool) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, key: str, text: str, k: int, percent: int, half: int, side: int, repeated: bool, n: int) -> DataFrame:
     """A spanning forest (u, v) of the links between representatives (rep, n_shingles, a, b) of different sets."""
-    member = _members(reps)
+    member = _members(reps, n * side)
     dealt = member.join(_units(member), ["g", "i"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     active = member.select(F.col("rep").alias("__id")).distinct()
     wanted = F.broadcast(active) if active.count() <= BROADCAST_IDS else active
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("__text")).join(wanted, F.col("rep") == F.col("__id"), "left_semi")
     added = T.StructType([T.StructField("a", _LONGS), T.StructField("b", _LONGS), T.StructField("shingles", _LONGS)])
-    sets = materialize(map_texts(texts.distinct() if repeated else texts, "__text", ["rep"], added, _kernel(k, half, side, True)))
-    found = _compared(_first_pass(dealt), sets, percent)
+    sets = materialize(map_texts(texts.distinct() if repeated else texts, "__text", ["rep"], added, _kernel(k, half, side, True)), n, TEXTS)
+    members = member.count()
+    found = _compared(_first_pass(dealt), sets, percent, members)
     cut = dealt.where("blocks > 1")
     if cut.isEmpty():
         return found
-    rest = materialize(_second_pass(cut, found))
-    return found if rest.isEmpty() else found.unionAll(_compared(rest, sets, percent))
+    rest = materialize(_second_pass(cut, found), members)
+    again = rest.count()
+    return found.unionAll(_compared(rest, sets, percent, again)) if again else found
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, half: int = HALF, side: int | None = None) -> DataFrame:
@@ -306,23 +310,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     smallest key reachable over links. kept marks the document that has this key. Null, empty and
     wordless texts have no shingles and no links. Rows of one key are one document, linked by each
     of their texts. A null key is never linked: its component is null and it is kept. Other columns
-    are ignored. Keys are integers. ``side`` follows from ``percent`` unless given.
+    are ignored. Keys are integers. docs is counted and read twice, so write it first if it is costly to make.
+    ``side`` follows from ``percent`` unless given.
     """
     side = side or sides(percent, half)
     added = T.StructType([T.StructField(c, T.LongType()) for c in ("n_shingles", "one", "two")] + [T.StructField(c, _LONGS) for c in ("a", "b")])
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("__text"))
-    signed = materialize(map_texts(source, "__text", ["id"], added, _kernel(k, half, side, False)))
+    n = docs.count()
+    signed = materialize(map_texts(source, "__text", ["id"], added, _kernel(k, half, side, False)), n, TEXTS)
     able = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
     ids = signed.where(able).select("id", "one", "two")
-    copies = materialize(ids.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    copies = materialize(ids.groupBy("one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), n)
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
     classed = signed.join(copies, ["one", "two"], "left")
     columns = [F.col("id").alias("rep"), "n_shingles", "a", "b"]
     reps = classed.where(able & F.col("rep").isNull()).select(columns).unionAll(classed.where(able & (F.col("rep") == F.col("id"))).dropDuplicates(["one", "two"]).select(columns))
     # rows of one key link the classes of their texts
-    repeated = materialize(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id")))
+    repeated = materialize(ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("__id")), n)
     again = not repeated.isEmpty()
-    found = links(docs, reps, key, text, k, percent, half, side, again)
+    found = links(docs, reps, key, text, k, percent, half, side, again, n)
     if again:
         found = found.unionAll(classed.where(able & F.col("rep").isNotNull()).join(repeated, F.col("id") == F.col("__id"), "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")))
     groups = connected_components(found).select(F.col("node").alias("__node"), "component")
@@ -330,6 +336,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     first = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     out = classed.select("id", "n_shingles", first.alias("first")).join(groups, F.col("first") == F.col("__node"), "left")
     kind = docs.schema[key].dataType
+    out = out.coalesce(max(1, -(-n // TEXTS)))
     out = out.select(F.col("id").cast(kind).alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "first")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(key), F.lit(True)))
 
