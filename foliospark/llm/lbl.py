@@ -39,10 +39,9 @@ CLASSES = OWN + SHARED
 DIM, NOISE, BATCH = 24, 48, 4096
 #: Words whose counts every worker holds; rarer ones are looked up by a join.
 HEAD = 150_000
-#: Words a worker remembers before it starts anew, words it counts before it passes them on, texts of a
-#: batch, bytes of text and contexts handled at once, and rare words of finished texts held: they bound its
-#: memory, whatever the length of a text.
-CACHE, COUNTED, TEXTS, PORTION, CONTEXTS, RARE = 200_000, 300_000, 250, 1 << 20, 512, 100_000
+#: Words a worker counts before it passes them on, texts of a batch, bytes of text and contexts handled at
+#: once, and rare words of finished texts held: they bound its memory, whatever the length of a text.
+COUNTED, TEXTS, PORTION, CONTEXTS, RARE = 300_000, 250, 1 << 20, 512, 100_000
 #: Documents that the driver starts the model on before the pass over all of them.
 START_DOCS = 400
 RATE = 0.04
@@ -139,30 +138,27 @@ class Trainer:
 
 @dataclass
 class Vocabulary:
-    """What scoring needs of the counts: the head's counts, classes, and each class's smoothed total."""
+    """What scoring needs of the counts: the head's classes and counts, and each class's smoothed total."""
 
     n: int
     v: int
-    head: dict[bytes, int]
-    own: dict[bytes, int]
+    facts: dict[bytes, int]
     totals: np.ndarray = field(repr=False)
 
-    def facts(self, word: bytes) -> int:
-        """A word's class, and above it its count where the head has it, else 0, as one number."""
-        k = self.own.get(word, -1)
-        return (k if k >= 0 else shared_class(word)) | self.head.get(word, 0) << _CLASS_BITS
-
 
 class _Facts(dict):
+    """A word's class, and above it its count where the head has it, else 0, as one number."""
+
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
+        super().__init__(vocabulary.facts)
+        self.tails: dict[bytes, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        x = self[word] = self.vocabulary.facts(word)
-        return x
+        tail = word[-2:]
+        k = self.tails.get(tail)
+        if k is None:
+            k = self.tails[tail] = shared_class(tail)
+        return k
 
 
 _BLANK = re.compile(rb"[ \t-\r]")
@@ -293,7 +289,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for w, c in top[:OWN]:
         sums[shared_class(w)] -= c + 1
         sums[own[w]] = c
-    return Vocabulary(total["n"], total["v"], dict(top), own, sums)
+    facts = {w: (own[w] if w in own else shared_class(w)) | c << _CLASS_BITS for w, c in top}
+    return Vocabulary(total["n"], total["v"], facts, sums)
 
 
 def train(docs: DataFrame, key: str, text: str, words: Vocabulary) -> Parameters:
