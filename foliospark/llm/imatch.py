@@ -84,14 +84,16 @@ def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST, most: int =
     """The lexicon of the terms in the band, by exact counts over all documents; a null text counts
     as one without terms."""
     total, empty = docs.count(), F.xxhash64(F.lit(""))
+    # multiplied here: as integer columns the product overflows over a million documents
+    low, high = (F.lit(total * bound).cast("long") for bound in (least, most))
     found = F.filter(words(F.coalesce(F.col(text), F.lit(""))), lambda h: h != empty)
     places = F.array_distinct(F.transform(found, lambda h: _place(h).cast("int")))
     n = docs.select(F.explode(places).alias("place")).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-    often = n.where(F.col("n") * 10000 >= F.lit(total) * least).select("place").toArrow()["place"].to_numpy().astype(np.int64)
+    often = n.where(F.col("n") * 10000 >= low).select("place").toArrow()["place"].to_numpy().astype(np.int64)
     some = _bitmap(often)
     terms = docs.select(F.explode(F.filter(found, lambda h: _in_bitmap(h, some))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     terms = materialize(terms)
-    inside = (F.col("n") * 10000 >= F.lit(total) * least) & (F.col("n") * 10000 <= F.lit(total) * most)
+    inside = (F.col("n") * 10000 >= low) & (F.col("n") * 10000 <= high)
     out = Lexicon(np.sort(terms.where(inside).select("h").toArrow()["h"].to_numpy().astype(np.int64)))
     # every term that passes the first bitmap is among the terms counted
     out.outside = np.sort(terms.where(~inside & out.near(F.col("h"))).select("h").toArrow()["h"].to_numpy().astype(np.int64))

@@ -6,6 +6,7 @@ import struct
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from foliospark.llm import imatch
 
@@ -112,3 +113,10 @@ def test_fingerprints_and_likeness_are_those_of_the_definition(spark):
 def test_places_of_a_hash_do_not_overlap():
     h = np.int64(-1)
     assert imatch.PLACES * 20 <= 64 and (int(h) >> 40) & ((1 << imatch.BITS) - 1) == (1 << imatch.BITS) - 1
+
+
+def test_more_documents_than_an_integer_product_holds(spark):
+    n = 1_100_000  # n * MOST is over 2 ** 31
+    terms = F.concat_ws(" ", F.concat(F.lit("often"), F.col("id") % 3), F.concat(F.lit("band"), F.col("id") % 300), F.concat(F.lit("rare"), F.col("id") % 5000))
+    found = imatch.lexicon(spark.range(n).select(terms.alias("text")))
+    assert set(found.hashes.tolist()) == {xx(f"band{k}".encode()) for k in range(300)}
