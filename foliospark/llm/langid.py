@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import fold, held_out, map_texts, utf8_list
-from foliospark.llm.sampling import HASH, drawn, first, one_a_key
+from foliospark.llm.sampling import HASH, drawn, one_a_key, places
 
 DIM = 1 << 13
 #: Labelled rows of each language at most that the weights are fitted on.
@@ -141,12 +141,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return list(zip(*(counts(x.decode("utf-8", "replace")) for x in texts), strict=True)) or [[], []]
 
     sample = sample.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), HASH, F.col(text).alias("__text"))
-    got = first(map_texts(one_a_key(sample, "__text"), "__text", ["__key", "__lang", HASH], added, kernel).toArrow(), "__key", per_language, "__lang")
-    langs = sorted({r["__lang"] for r in got})
+    got = map_texts(one_a_key(sample, "__text"), "__text", ["__key", "__lang", HASH], added, kernel).toArrow()
+    kept = places(got, "__key", per_language, "__lang")
+    spoken = got["__lang"].to_pylist()
+    langs = sorted({spoken[k] for k in kept})
     if not langs:
         return Model([], idf, np.zeros((DIM, 0)), 1.0)
-    y = np.array([langs.index(r["__lang"]) for r in got])
-    rows = [(at := np.array(r["at"], np.int64), tfidf(at, np.array(r["n"], np.int64), idf)) for r in got]
+    y = np.array([langs.index(spoken[k]) for k in kept])
+    # from Arrow's buffers to numpy's, since as Python's integers the counts take many times their size
+    rows = [(at := got["at"][k].values.to_numpy(), tfidf(at, got["n"][k].values.to_numpy().astype(np.int64), idf)) for k in kept]
     check = np.arange(len(rows)) % 5 == 4
     train = np.flatnonzero(~check) if check.any() else np.arange(len(rows))
     w = ftrl([rows[k] for k in train], y[train], len(langs))

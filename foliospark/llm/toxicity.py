@@ -135,6 +135,35 @@ def _chains(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words, np.array(lengths, np.int64), np.array(per_text, np.int64)
 
 
+def _numbered(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray, list[np.ndarray]]:
+    """The number of each distinct word, the numbers of all words, and the lengths of each text's chains. Words
+    are held once, however often they occur."""
+    numbers: dict[bytes, int] = {}
+    ids, lengths = [], []
+    for text in texts:
+        words, n, _ = _chains([text])
+        ids.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+        lengths.append(n)
+    return numbers, np.concatenate(ids), lengths
+
+
+def _features_of(numbers: dict[bytes, int], chains: list[np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+    """The features in LEAST_DOCS texts and more, numbered from 1 in their order, and those of each word (0: none)."""
+    names: dict[str, int] = {}
+    table = np.zeros((len(numbers), 6), np.int32)
+    for w, k in numbers.items():
+        fs = [names.setdefault(x, len(names) + 1) for x in token_features(w)]
+        table[k, : len(fs)] = fs
+    docs_with = np.zeros(len(names) + 1, np.int64)
+    for c in chains:
+        docs_with[np.unique(table[c])] += 1
+    index = {x: k + 1 for k, x in enumerate(sorted(x for x, j in names.items() if docs_with[j] >= LEAST_DOCS))}
+    kept = np.zeros(len(names) + 1, np.int32)
+    for x, k in index.items():
+        kept[names[x]] = k
+    return index, kept[table]
+
+
 def summary(p: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     """Of each text: 1, the logit of the largest marginal, and the log of the sum of marginals of LEAST_MARGINAL and
     more, so that the many clean words of a long text don't add up to a toxic one."""
@@ -192,15 +221,19 @@ def surely(n: int, other: int, share: float) -> float:
 def token_labels(chains: list[list[bytes]], toxic: list[bool]) -> tuple[set[str], dict[str, float]]:
     """The word and prefix features that mark toxic tokens, by how toxic their documents are, and the
     bounds of those that are likelier in toxic documents than not."""
-    seen = (Counter(), Counter())
+    seen: Counter = Counter()
     total = [max(1, toxic.count(False)), max(1, toxic.count(True))]
     for words, bad in zip(chains, toxic, strict=True):
-        seen[bad].update({x for w in set(words) for x in token_features(w) if x[0] in "wp"})
+        if bad:
+            seen.update({x for w in set(words) for x in token_features(w) if x[0] in "wp"})
+    often = {x: n for x, n in seen.items() if n >= LEAST_DOCS}
+    clean: Counter = Counter()
+    for words, bad in zip(chains, toxic, strict=True):
+        if not bad:
+            clean.update({x for w in set(words) for x in token_features(w) if x in often})
     marks, likely = set(), {}
-    for x, n in seen[1].items():
-        if n < LEAST_DOCS:
-            continue
-        bad, good, bound = n / total[1], (seen[0][x] + 0.5) / total[0], surely(n, seen[0][x], total[1] / sum(total))
+    for x, n in often.items():
+        bad, good, bound = n / total[1], (clean[x] + 0.5) / total[0], surely(n, clean[x], total[1] / sum(total))
         if bound >= LEAST_BOUND and bad / (bad + good) >= LEAST_PRECISION:
             marks.add(x)
         if bound > 0.5:
@@ -231,18 +264,19 @@ def train(texts: list[bytes], toxic: list[bool], share: float) -> Model:
     if not any(toxic) or all(toxic):
         level = np.log(max(share, 1e-4) / max(1 - share, 1e-4))
         return Model({}, -10.0, np.zeros((2, 2)), np.array([level, 0.0, 0.0]))
-    words, lengths, per_text = _chains(texts)
+    numbers, ids, by_text = _numbered(texts)
+    del texts
+    lengths, n_chains = np.concatenate(by_text), np.array([len(n) for n in by_text])
+    per_text = np.array([n.sum() for n in by_text], np.int64)
     ends = np.cumsum(per_text)
-    chains = [words[e - n : e] for e, n in zip(ends, per_text, strict=True)]
-    marked = toxic_words(chains, toxic)
-    docs_with = Counter(x for c in chains for x in {f for w in set(c) for f in token_features(w)})
-    index = {x: k + 1 for k, x in enumerate(sorted(x for x, n in docs_with.items() if n >= LEAST_DOCS))}
-    known: dict[bytes, list[int]] = {}
-    for w in set(words):
-        fs = token_features(w)
-        known[w] = [index.get(x, 0) for x in fs] + [0] * (6 - len(fs))
-    x = np.array([known[w] for w in words], np.int32)
-    y = np.array([w in found for c, found in zip(chains, marked, strict=True) for w in c], bool)
+    chains = [np.unique(ids[e - n : e]) for e, n in zip(ends, per_text, strict=True)]
+    index, x = _features_of(numbers, chains)
+    words = list(numbers)
+    marked = toxic_words([[words[k] for k in c] for c in chains], toxic)
+    y = np.zeros(len(ids), bool)
+    for e, n, found in zip(ends, per_text, marked, strict=True):
+        y[e - n : e] = np.isin(ids[e - n : e], [numbers[w] for w in found])
+    del words, numbers, chains, marked
     of = np.repeat(np.arange(len(lengths)), lengths)
     first = np.concatenate([[True], of[1:] != of[:-1]])
     weights, bias, trans = np.zeros(len(index) + 1), -2.0, np.zeros((2, 2))
@@ -256,14 +290,15 @@ def train(texts: list[bytes], toxic: list[bool], share: float) -> Model:
             if not len(part):
                 continue
             at = np.concatenate([np.arange(begins[c], begins[c] + lengths[c]) for c in part])
-            xs, ys = x[at], y[at].astype(float)
-            u = params[0] + weights[xs].sum(1)
+            ws, ys = ids[at], y[at].astype(float)
+            u = params[0] + weights[x].sum(1)[ws]
             p, steps, _ = marginals(u, lengths[part], params[1:].reshape(2, 2), True)
             d = p - ys
             inner = np.flatnonzero(~first[at])
             told = np.zeros((2, 2))
             np.add.at(told, (ys[inner - 1].astype(int), ys[inner].astype(int)), 1)
-            g = np.bincount(xs.ravel(), weights=np.repeat(d, xs.shape[1]), minlength=len(weights)) + 0.02 * weights
+            by_word = np.bincount(ws, weights=d, minlength=len(x))
+            g = np.bincount(x.ravel(), weights=np.repeat(by_word, x.shape[1]), minlength=len(weights)) + 0.02 * weights
             g[0] = 0
             gp = np.concatenate([[d.sum()], (steps - told).ravel()]) + 0.02 * params
             t += 1
@@ -273,9 +308,15 @@ def train(texts: list[bytes], toxic: list[bool], share: float) -> Model:
                 a -= 0.25 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             weights[0] = 0
     model = Model({f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 1e-3}, float(params[0]), params[1:].reshape(2, 2), np.zeros(3))
-    u = params[0] + weights[x].sum(1)
-    p, _, _ = marginals(u, lengths, model.trans)
-    model.calibration = _calibrate(summary(p, per_text), np.array(toxic, float), share)
+    of_word = params[0] + weights[x].sum(1)
+    last, sums = np.cumsum(n_chains), []
+    for part in np.array_split(np.arange(len(per_text)), parts):
+        if len(part):
+            a, b = part[0], part[-1]
+            u = of_word[ids[ends[a] - per_text[a] : ends[b]]]
+            p, _, _ = marginals(u, lengths[last[a] - n_chains[a] : last[b]], model.trans)
+            sums.append(summary(p, per_text[a : b + 1]))
+    model.calibration = _calibrate(np.concatenate(sums), np.array(toxic, float), share)
     return model
 
 
@@ -297,7 +338,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = drawn(labels.where(F.col(label).isin(0, 1)), key, per_class, label)
     rows = texts_of(docs.where(F.col(text).isNotNull()), sample, key, text, label)
     rows = first(rows.toArrow(), key, per_class, label)
-    return train([r[text].encode() for r in rows], [r[label] == 1 for r in rows], 0.5 if share is None else share)
+    texts, toxic = [r[text].encode() for r in rows], [r[label] == 1 for r in rows]
+    del rows
+    return train(texts, toxic, 0.5 if share is None else share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -36,7 +36,8 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # no _SUCCESS: nothing reads it, and the driver would start two processes for its permissions
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
